@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python. Bytes matter more: a few texts can be very long.
 ARROW_ROWS = "2000"
@@ -72,3 +73,20 @@ def by_bytes(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if start < len(texts):
         yield start, len(texts)
+
+
+def hashed_sample(rows: DataFrame, key: str, most: int, group: str | None = None) -> DataFrame:
+    """(key[, group]) of about ``most`` rows, or ``most`` of each group, whose keys hash lowest; all of a smaller one.
+
+    A count fixes the hash threshold below which twice as many rows are expected, so only those are
+    ranked, however large the table is. The result is bounded by ``most`` per group.
+    """
+    by = [group] if group else []
+    spread = (F.xxhash64(key) / F.lit(2.0**64) + 0.5).alias("__at")
+    if group:
+        few = rows.select(key, group, spread).join(rows.groupBy(group).agg(F.count("*").alias("__rows")), group)
+    else:
+        few = rows.select(key, spread).withColumn("__rows", F.lit(rows.count()))
+    few = few.where(F.col("__at") * F.col("__rows") < 2 * most)
+    first = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__at", key)
+    return few.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= most).select(key, *by).distinct()

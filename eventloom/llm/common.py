@@ -84,7 +84,8 @@ def hashed_sample(rows: DataFrame, key: str, most: int, group: str | None = None
     by = [group] if group else []
     spread = (F.xxhash64(key) / F.lit(2.0**64) + 0.5).alias("__at")
     if group:
-        few = rows.select(key, group, spread).join(rows.groupBy(group).agg(F.count("*").alias("__rows")), group)
+        count = materialize(rows.groupBy(group).agg(F.count("*").alias("__rows")), "counts")  # of known size: broadcast only if small
+        few = rows.select(key, group, spread).join(count, group)
     else:
         few = rows.select(key, spread).withColumn("__rows", F.lit(rows.count()))
     few = few.where(F.col("__at") * F.col("__rows") < 2 * most)

@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, table, texts_of
+from .common import bound_batches, by_bytes, hashed_sample, table, texts_of
 
 #: Labelled texts that the trees of one language are trained on, at most.
 TRAIN_DOCS = 400
@@ -147,8 +147,7 @@ def train(labelled: DataFrame, docs: int = TRAIN_DOCS) -> Trees | None:
     spark = labelled.sparkSession
     bound_batches(spark)
     rows = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).select("doc_id", "lang").distinct()
+    ids = hashed_sample(rows, "doc_id", docs, "lang")
     sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
     got = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (got.column(c).to_numpy() for c in ("lang", "gram", "n"))

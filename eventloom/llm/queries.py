@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language import op1_language_id
+from .mixing import op9_source_mixing
 from .packing import op4_best_fit_packing
+from .secrets import op7_secret_scan
 from .simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op7_secret_scan, op8_simhash_near_dedup, op9_source_mixing)}
 
 ORACLES: dict[str, str] = {}

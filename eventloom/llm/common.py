@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch handed to Python. Bytes matter more: a few texts can be very long.
 ARROW_ROWS = "2000"
@@ -91,3 +92,11 @@ def hashed_sample(rows: DataFrame, key: str, most: int, group: str | None = None
     few = few.where(F.col("__at") * F.col("__rows") < 2 * most)
     first = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__at", key)
     return few.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= most).select(key, *by).distinct()
+
+
+def extended(schema: StructType, **more: str) -> StructType:
+    """A copy of schema with more columns (name=type)."""
+    out = StructType(list(schema.fields))
+    for name, kind in more.items():
+        out.add(name, kind)
+    return out

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, table, texts_of
+from .common import bound_batches, extended, materialize, table, texts_of
 from .tokens import WordTokenizer
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -254,7 +254,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = places.value.look_up(batch.column("length").to_numpy(), batch.column("__rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, cut.schema.add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, extended(cut.schema, sequence_id="long", offset="long"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from . import urls
+from .html import op10_html_extraction
 from .language import op1_language_id
 from .mixing import op9_source_mixing
 from .packing import op4_best_fit_packing
+from .quality import op5_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op8_simhash_near_dedup
+from .urls import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op7_secret_scan, op8_simhash_near_dedup, op9_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op4_best_fit_packing,
+        op5_quality_rules,
+        op6_url_filter,
+        op7_secret_scan,
+        op8_simhash_near_dedup,
+        op9_source_mixing,
+        op10_html_extraction,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_url_filter": urls.ORACLE}

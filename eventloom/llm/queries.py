@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import topk, urls
 from .html import op10_html_extraction
 from .language import op1_language_id
 from .mixing import op9_source_mixing
@@ -10,12 +10,14 @@ from .packing import op4_best_fit_packing
 from .quality import op5_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op8_simhash_near_dedup
+from .topk import op2_topk_search
 from .urls import op6_url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_topk_search,
         op4_best_fit_packing,
         op5_quality_rules,
         op6_url_filter,
@@ -26,4 +28,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op6_url_filter": urls.ORACLE}
+ORACLES = {"op2_topk_search": topk.ORACLE, "op6_url_filter": urls.ORACLE}

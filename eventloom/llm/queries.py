@@ -9,6 +9,7 @@ from .mixing import op9_source_mixing
 from .packing import op4_best_fit_packing
 from .quality import op5_quality_rules
 from .secrets import op7_secret_scan
+from .separators import op3_token_counts
 from .simhash import op8_simhash_near_dedup
 from .topk import op2_topk_search
 from .urls import op6_url_filter
@@ -18,6 +19,7 @@ QUERIES = {
     for f in (
         op1_language_id,
         op2_topk_search,
+        op3_token_counts,
         op4_best_fit_packing,
         op5_quality_rules,
         op6_url_filter,

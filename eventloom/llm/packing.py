@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, extended, materialize, table, texts_of
-from .tokens import WordTokenizer
+from .tokens import tokenizer
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
@@ -212,7 +212,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     schema = schema.add("ids", "array<int>") if with_ids else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = tokenizer(path)
         for batch in batches:
             for i in range(0, len(batch), STEP):
                 part = batch.slice(i, STEP)

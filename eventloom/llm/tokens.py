@@ -1,59 +1,115 @@
-"""Token ids of whole texts, with a word memo in front of the tokenizer."""
+"""Token ids of whole texts, with memos in front of the tokenizer."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Distinct words that one worker remembers; the memo starts anew beyond that.
-MEMO = 400_000
+#: Distinct pieces that a memo of one worker holds; it starts anew beyond that.
+MEMO = 600_000
+
+#: Letters of texts that are split here: a-z and those of Latin-1 and Latin Extended-A whose lower case is one letter.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xffāă-įı-ž"
+_PLAIN = re.compile(f"[^\t\n\x0b\x0c\r\x20-\x7e{_LETTERS}]")
+#: The tokenizer's own splitting, for such texts in lower case.
+_SPLIT = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t\n\x0b\x0c\r 0-9{_LETTERS}]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+class _Memo:
+    """Pieces of text, numbered, with their ids in one flat array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def add(self, piece: str, ids: list[int]) -> None:
+        n = len(self.place)
+        if n == len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n], self.size[n] = self.used, len(ids)
+        self.used += len(ids)
+        self.place[piece] = n
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        size = self.size[at]
+        ends = np.cumsum(size)
+        n = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(n) + np.repeat(self.start[at] - (ends - size), size)] if n else np.empty(0, np.uint32)
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space and never merges across it.
+    """Ids of texts by word_bpe_49k, or a tokenizer with the same normalizer and splitting.
 
-    Such a tokenizer gives the same ids for a text as for its white-space separated words one after
-    the other, so ids of words seen before are looked up. Splitting is at ASCII white space only,
-    which is coarser than the tokenizer's own and so keeps that equality.
+    It lower-cases, drops white space and merges only within runs of letters, single digits and
+    runs of other characters. A text of ASCII and common Latin letters is split here by the same
+    rule, and each distinct run goes through the tokenizer's model once. Any other text, and one
+    that spells a special token, goes through the whole tokenizer word by word, split at ASCII white
+    space, across which nothing is merged either. Both give the ids of the text as a whole.
     """
 
     def __init__(self, path: str | None = None) -> None:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self._forget()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
+        self.runs, self.words = _Memo(), _Memo()
 
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+    def _split(self, text: str) -> list[str] | None:
+        """Runs of a text that can be split here."""
+        low = text.lower()
+        if not low.isascii() and _PLAIN.search(low) or low.isascii() and not low.isprintable() and _PLAIN.search(low):
+            return None
+        if "<|" in text and any(s in text for s in self.special):
+            return None
+        if not text.isascii() and len(low) != len(text):
+            return None
+        return _SPLIT.findall(low)
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        model, letters = self.tokenizer.model, self.letters
+        for r in runs:
+            known = r if r.isascii() else "".join([letters[b] for b in r.encode()])
+            self.runs.add(r, [t.id for t in model.tokenize(known)])
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        for w, e in zip(words, got, strict=True):
-            ids, n = e.ids, len(self.place)
-            if n == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[n], self.size[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.place[w] = n
+    def _learn_words(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.words.add(w, e.ids)
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; a null text is empty."""
-        if len(self.place) > MEMO:
-            self._forget()
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        place = self.place
-        new = dict.fromkeys(w for ws in words for w in ws if w not in place)
-        if new:
-            self._learn(list(new))
-        out = []
-        for ws in words:
-            at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            n = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(n) + np.repeat(self.start[at] - (ends - size), size)] if n else np.empty(0, np.uint32))
-        return out
+        if len(self.runs.place) > MEMO:
+            self.runs = _Memo()
+            self.tokenizer.model._clear_cache()
+        if len(self.words.place) > MEMO:
+            self.words = _Memo()
+        pieces = []
+        for t in texts:
+            found = self._split(t or "")
+            if found is not None:
+                pieces.append((self.runs, found))
+            else:
+                pieces.append((self.words, [w.decode() for w in t.encode("utf-8", "replace").split()]))
+        for memo, learn in ((self.runs, self._learn_runs), (self.words, self._learn_words)):
+            learn(list(dict.fromkeys(p for m, ps in pieces if m is memo for p in ps if p not in memo.place)))
+        return [memo.ids(p) for memo, p in pieces]
+
+
+@lru_cache(1)
+def tokenizer(path: str | None = None) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker, so that its memos last."""
+    return WordTokenizer(path)

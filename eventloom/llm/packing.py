@@ -33,8 +33,8 @@ from .tokens import tokenizer
 CAPACITY, END = 4096, 1
 #: Rounds of multiplicative weights, and how fast prices fall.
 ROUNDS, RATE = 80, 0.3
-#: Pieces of a length in a bucket, about.
-BUCKET = 50_000
+#: Pieces of a length in a bucket, about, as long as that takes no more than so many buckets.
+BUCKET, BUCKETS = 1000, 4096
 #: Texts tokenized at a time.
 STEP = 64
 
@@ -239,7 +239,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (doc_id, piece, length and more) with sequence_id and offset appended; cut must be a written table."""
     count = cut.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = {r["length"]: r["count"] for r in count}
-    buckets = max(1, max(histogram.values(), default=0) // BUCKET)
+    buckets = max(1, min(BUCKETS, max(histogram.values(), default=0) // BUCKET))
     places = cut.sparkSession.sparkContext.broadcast(Places(plan(histogram, capacity)))
     rows = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     # the buckets of a length follow one another; their sizes are summed over a small table

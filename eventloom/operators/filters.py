@@ -42,8 +42,8 @@ def _compare(c: Column, op: str, value) -> Column:
 
 
 def _double(c: Column, op: str, value: float) -> Column:
-    if op == "=":  # the range can be pushed down to the scan; the distance is what counts
-        return c.between(value - EPSILON, value + EPSILON) & (F.abs(c - value) < EPSILON)
+    if op == "=":
+        return F.abs(c - value) < EPSILON
     if op == "!=":
         return F.abs(c - value) >= EPSILON
     return _compare(c, op, value)
@@ -87,6 +87,7 @@ def matches(field: Typed, op: str, value=None) -> Column:
         case "isNotNull":
             return field.exists & ~field.null
     found: list[Column | None] = []
+    near = None  # what a match implies in terms that a scan understands
     if isinstance(value, bool):
         if field.bool is not None and op in ("=", "!="):
             found.append(_compare(field.bool, op, value))
@@ -96,10 +97,17 @@ def matches(field: Typed, op: str, value=None) -> Column:
                 found.append(_int(field.int, op, value))
             if field.double is not None:
                 found.append(_double(field.double, op, float(value)))
+                if op == "=":
+                    near = field.double.between(value - EPSILON, value + EPSILON)
+                    if found[0] is not None and len(found) == 2:
+                        near = found[0] | near
     elif isinstance(value, str) and field.string is not None:
         found.append(_text(field.string, op, value))
     found = [c for c in found if c is not None]
-    return reduce(or_, found) if found else F.lit(False)
+    if not found:
+        return F.lit(False)
+    exact = reduce(or_, found)
+    return exact if near is None else near & exact
 
 
 def combined(columns: list[Column], combinator: str = "AND") -> Column:

@@ -54,7 +54,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends open elements of these kinds, up to the nearest of the others.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_BOILERPLATE_TAGS = frozenset("nav footer aside form button dialog menu fieldset head".split())
+_BOILERPLATE_TAGS = frozenset("nav footer aside button dialog menu head".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _CONTENT_TAGS = frozenset(["article", "main"])
 #: Words in a class or id that tell boilerplate, and content. The former win.
@@ -62,6 +62,7 @@ _BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin login register "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer foot copyright legal disclaimer sidebar aside rail widget widgets related recommended recommendations trending popular share sharing social follow comment comments commentlist disqus respond reply replies discussion form search skip".split()
 )
+_NOT_ARTICLE = re.compile(r"(?:^|\s)(?:comment|reply|related|promo|ad\b|ads\b|advert|sponsored|teaser)", re.I)
 _CONTENT_WORDS = frozenset("article content entry story post main body text prose".split())
 
 
@@ -73,20 +74,22 @@ def _place(tag: str, attributes: str) -> int:
     told = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     if tag not in ("html", "body") and ("hidden" in told or told.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", told.get("style", ""))):
         return -1
-    if tag in _CONTENT_TAGS or told.get("role") == "main":
+    if tag in _CONTENT_TAGS:  # comments and teasers are articles too
+        return -1 if _NOT_ARTICLE.search(told.get("class", "")) else 1
+    if told.get("role") == "main":
         return 1
     if told.get("role") in _BOILERPLATE_ROLES:
         return -1
     if tag in ("html", "body") or not told:
         return 0
     words = {w.lower() for k in ("class", "id") for w in _WORD.findall(told.get(k, ""))}
-    if words & _BOILERPLATE_WORDS:
+    if words & _BOILERPLATE_WORDS - ({"header"} if words & _CONTENT_WORDS else set()):
         return -1
     return 1 if words & _CONTENT_WORDS else 0
 
 
 #: Bits of what the ancestors of a block tell; the first five add to its score, in the order of PLACES.
-CONTENT, BOILERPLATE, HEADING, PARAGRAPH, ITEM, TOLD_CONTENT, TOLD_BOILERPLATE = (1 << i for i in range(7))
+CONTENT, BOILERPLATE, HEADING, PARAGRAPH, ITEM, TOLD_CONTENT, TOLD_BOILERPLATE, FORM = (1 << i for i in range(8))
 
 
 class Node:
@@ -100,6 +103,8 @@ class Node:
         above = parent.bits if parent else 0
         if tag == "header" and not above & CONTENT:
             own |= BOILERPLATE
+        if tag in _CONTENT_TAGS:  # some pages are one form from end to end
+            above &= ~FORM
         self.bits = above | own
 
 
@@ -109,7 +114,7 @@ class Block:
     __slots__ = ("text", "linked", "node", "bits")
 
     def __init__(self, text: str, linked: int, node: Node) -> None:
-        self.text, self.linked, self.bits = text, linked, node.bits
+        self.text, self.linked, self.bits = text, linked, node.bits | (BOILERPLATE if node.bits & FORM else 0)
         while node.tag in _INLINE:
             node = node.parent
         self.node = node
@@ -119,6 +124,7 @@ def _own(tag: str, attributes: str) -> int:
     place = _place(tag, attributes)
     own = CONTENT if place > 0 else BOILERPLATE if place < 0 else 0
     own |= TOLD_CONTENT if tag in _CONTENT_TAGS else TOLD_BOILERPLATE if tag in _BOILERPLATE_TAGS else 0
+    own |= FORM if tag in ("form", "fieldset") else 0
     return own | (HEADING if tag in _HEADINGS else PARAGRAPH if tag == "p" else ITEM if tag == "li" else 0)
 
 

@@ -28,6 +28,12 @@ def test_article_without_the_rest():
     assert html.main_text(PAGE, PLAIN) == "Title é\nFirst para with bold text.\nSecond, unclosed <b> A line break.\nitem one\nitem two\nQuote here."
 
 
+def test_articles_of_other_kinds():
+    page = """<body><form id="aspnet"><header>Site</header><article class="post has-comments"><header class="entry-header"><h1 class="entry-title">A title</h1></header><p>The text of it, which is here.</p>
+    <form><p>Your e-mail</p></form><aside>More like this</aside><section><article class="comment"><p>I liked the text of it, really, a lot.</p></article></section><footer>Filed under x</footer></article></form></body>"""
+    assert html.main_text(page, PLAIN) == "A title\nThe text of it, which is here."
+
+
 @pytest.mark.parametrize("page", [None, "", "<p", "<", "&", "<!-- never closed", "<script>x", '<a href="x', "</p></div>", "<html><body></body></html>"])
 def test_nothing_to_extract(page):
     assert html.main_text(page, PLAIN) == ""

@@ -207,7 +207,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """Rows of docs in some language: not ``und``, and coded shorter by its trees than by a flat code."""
-    flat = float(np.log2(trees.symbols if trees else 256))
+    """Rows of docs whose text is in some language, that is, not ``und``."""
     names = ("__found_lang", "__found_score", "__found_bits")
-    return identify(docs, trees, names=names).where((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) < flat)).select(*docs.columns)
+    return identify(docs, trees, names=names).where(F.col(names[0]) != UNDETERMINED).select(*docs.columns)

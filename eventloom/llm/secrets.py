@@ -131,6 +131,7 @@ def learned_spans(text: Column, base: Column, ratios: list[float], least: float
 def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs with its base spans and all spans in columns __base and __spans, by start and then kind. A null text has none."""
     text = F.coalesce("text", F.lit(""))
+    docs = docs.drop("__base", "__spans", "__clean")
     return docs.withColumn("__base", base_spans(text)).withColumn("__spans", F.array_sort(F.concat("__base", learned_spans(text, F.col("__base"), ratios))))
 
 
@@ -145,7 +146,8 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     A null text is empty; no spans are an empty string. Repeated rows come out repeated.
     """
     found = spans(docs.select("doc_id", "text"), ratios).drop("text")
-    counts = [F.size(F.filter("__base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, (kind, *_) in enumerate(KINDS)]
+    of_kind = lambda i: F.filter("__base", lambda s: s["kind"] == i)
+    counts = [F.size(of_kind(i)).cast("long").alias(f"n_{kind}") for i, (kind, *_) in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_told(F.col("__base")).cast("binary"), 256).alias("base_sha256"), _told(F.col("__spans")).alias("spans"))
 
 
@@ -159,12 +161,13 @@ def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     joined = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = spans(docs, ratios)
-    kinds = dict(docs.dtypes)
-    clean = {"text": F.when(F.size("__spans") > 0, joined).otherwise(F.col("text"))}
-    if "n_chars" in kinds:
-        clean["n_chars"] = F.when(F.size("__spans") > 0, F.length(joined).cast(kinds["n_chars"])).otherwise(F.col("n_chars"))
-    return found.withColumns(clean).select(*docs.columns)
+    changed = F.size("__spans") > 0
+    found = spans(docs, ratios).withColumn("__clean", F.when(changed, joined).otherwise(F.col("text")))
+    size = F.length("__clean").cast(dict(docs.dtypes).get("n_chars", "long"))
+    own = {"text": F.col("__clean").alias("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(changed, size).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*(own.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from eventloom.plans import spec
 from eventloom.plans.queries import answer
 from eventloom.sources import store
 from eventloom.sources.bindings import Binding
-from eventloom.sources.documents import assemble, read_lines
+from eventloom.sources.documents import assemble, from_fields, read_lines
 
 
 class Database:
@@ -35,6 +35,10 @@ class Database:
             documents = self.spark.createDataFrame([(d,) for d in documents], "value string")
         store.write(assemble(documents, **options), self._root(), self.promote)
 
+    def write_fields(self, namespace: str, documents: list[dict]) -> None:
+        """Append documents of flat fields, see ``sources.documents.from_fields``."""
+        store.write(from_fields(self.spark, namespace, documents), self._root(), self.promote)
+
     def load(self, path: str | list[str], **options) -> None:
         """Append the documents of newline-delimited JSON files."""
         store.write(read_lines(self.spark, path, **options), self._root(), self.promote)

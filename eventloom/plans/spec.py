@@ -207,3 +207,19 @@ def _order_by(x: dict, group_by: tuple[str, ...], calcs: tuple[Calculation, ...]
     elif name in group_by:
         return OrderBy("group", name, group_by.index(name), down)
     raise ValueError(f"invalid order by clause: {x}")
+
+
+def unparse(q: Query) -> dict:
+    """A query object that parses to q again. Times are in nanoseconds."""
+    out: dict[str, Any] = {"namespace": q.namespace, "start_time": q.start, "end_time": q.end, "time_unit": "1ns"}
+    if q.granularity is not None:
+        out["time_granularity"] = f"{q.granularity}ns"
+    if q.filters:
+        out["filters"] = [{"filters": [{"field": f.field, "op": f.op} | ({} if f.value is None else {"value": f.value}) for f in fl.filters], "filter_combinator": fl.combinator} for fl in q.filters]
+    if q.group_by:
+        out["group_by"] = list(q.group_by)
+    if q.calculations:
+        out["calculations"] = [{"op": c.op} | ({} if c.field is None else {"field": c.field}) for c in q.calculations]
+    if q.order_by:
+        out["order_by"] = [({} if o.field is None else {"field": o.field}) | ({"op": q.calculations[o.index].op} if o.kind == "calculation" else {}) | {"order": ORDERS[o.descending]} for o in q.order_by]
+    return out | {"limit": q.limit}

@@ -212,3 +212,24 @@ def test_load_files_and_precision(spark, tmp_path):
 def test_retention_clamps_the_start(spark, stores):
     db = Database(spark, stores["nested"].root, retention=3600 * 10**9)
     assert db.query(ask(order_by=BY_TIME)).collect() == []
+
+
+def test_flat_fields(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "store"))
+    db.write_fields("n", [{"time_nanos": 10**18 + i, "fields": {"a.b": i, "c": None if i else "x"}} for i in range(3)] + [{"id": "z", "time_nanos": 10**18, "source": "raw text", "fields": {}}])
+    q = {"namespace": "n", "start_time": 0, "end_time": 2**31}
+    assert sources(db.query(q | {"filters": where(("a.b", ">=", 1)), "order_by": BY_TIME})) == ['{"a.b":1,"c":null}', '{"a.b":2,"c":null}']
+    assert sources(db.query(q | {"filters": where(("a.b", "notExists"))})) == ["raw text"]
+    with pytest.raises(ValueError):
+        db.write_fields("n", [{"time_nanos": 1, "fields": {"a": [1]}}])
+
+
+def test_kinds_of_queries_and_namespaces(spark, stores):
+    db = stores["nested"]
+    assert db.health() and db.query_raw(ask(limit=1)).count() == 1
+    assert db.query_grouped(ask(group_by=["tt"])).count() == 2
+    assert db.query_time_bucket(ask(1548190000, 1548196000, time_granularity="10m")).count() == 11
+    with pytest.raises(ValueError):
+        db.query_raw(ask(group_by=["tt"]))
+    with pytest.raises(ValueError, match="no such namespace"):
+        Database(spark).query(ask())

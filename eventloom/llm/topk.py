@@ -7,7 +7,9 @@ the query's current k-th score is left out. The k-th scores are shared: a first
 query search one shard only, and the k-th score that it finds there goes along to all other shards
 as a bound to start from.
 
-Queries travel in blocks to the shards. A task holds one shard and one block, both bounded.
+Queries travel to the shards, as there are fewer of them than candidates, and stream past: a task holds
+one shard and one batch of queries, both bounded. Where queries are so many that a shard would keep
+a task too long, they are dealt into blocks, and a shard goes to one task for each block.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import bound_batches, materialize, table
 #: Neighbours, factor of the components, and which rows are queries.
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors of a shard, queries of a block, and vectors of a leaf, about.
-SHARD, BLOCK, LEAF = 32_768, 4096, 128
+SHARD, BLOCK, LEAF = 32_768, 1 << 18, 128
 #: Sums up to this are exact in float64.
 EXACT = 2**53
 
@@ -124,17 +126,11 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, lengths and all components of a table's vectors."""
-    v = t.column("v").combine_chunks()
-    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-    return t.column("vec_id").to_numpy(), np.diff(v.offsets.to_numpy()), v.flatten().to_numpy().astype(np.int64)
-
-
-def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """length -> (ids, matrix, rows of t)."""
-    ids, size, flat = _vectors(t)
-    start = np.cumsum(size) - size
+def _by_length(ids: np.ndarray, v: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """length -> (ids, matrix, places in v) of vectors."""
+    offsets = v.offsets.to_numpy()
+    size, start = np.diff(offsets), offsets[:-1] - offsets[0]
+    flat = v.flatten().to_numpy()
     out = {}
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
@@ -142,31 +138,56 @@ def _by_length(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def _answer(shard: pa.Table, block: pa.Table, k: int) -> pa.Table:
-    """Best rows of a shard for the queries of a block: query_id, vec_id, score."""
-    out = []
-    if shard.num_rows and block.num_rows:
-        known = block.column("bound").to_numpy(zero_copy_only=False).astype(float)
-        known = np.where(np.isnan(known), -np.inf, known)
-        asked = _by_length(block)
-        for n, (ids, rows, _) in _by_length(shard).items():
-            if n not in asked:
+class Shard:
+    """Candidates of one shard, a tree for each length of vectors."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, pa.Array]]) -> None:
+        self.held = _by_length(np.concatenate([i for i, _ in parts]), pa.concat_arrays([v for _, v in parts])) if parts else {}
+        self.trees: dict[int, tuple[BallTree, np.ndarray]] = {}
+
+    def answer(self, ids: np.ndarray, v: pa.Array, bound: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query ids, ids, scores) of the best candidates for each query; bound is NaN where none is known."""
+        out = []
+        for n, (query_ids, queries, place) in _by_length(ids, v).items():
+            if n not in self.held:
                 continue
-            query_ids, queries, place = asked[n]
-            size = [int(np.abs(x).max(initial=0)) for x in (rows, queries)]
+            own, rows, _ = self.held[n]
+            size = [int(np.abs(x.astype(float)).max(initial=0)) for x in (rows, queries)]
             if size[0] * size[1] * max(n, 1) < EXACT:
-                rows = rows.astype(float)
-                q, i, s = search(BallTree(rows), rows, ids, queries.astype(float), query_ids, known[place], k)
+                if n not in self.trees:
+                    self.trees[n] = BallTree(rows.astype(float)), rows.astype(float)
+                tree, exact = self.trees[n]
+                q, i, s = search(tree, exact, own, queries.astype(float), query_ids, np.where(np.isnan(bound[place]), -np.inf, bound[place]), k)
                 out.append((query_ids[q], i, s.astype(np.int64)))
             else:  # beyond what float64 holds exactly: whole numbers of any size, compared one query at a time
                 wide = rows.astype(object)
                 for j, query in enumerate(queries.astype(object)):
                     s = wide @ query if n else np.zeros(len(rows), object)
-                    best = sorted((-int(x), int(y)) for x, y in zip(s, ids, strict=True) if y != query_ids[j])[:k]
+                    best = sorted((-int(x), int(y)) for x, y in zip(s, own, strict=True) if y != query_ids[j])[:k]
                     # a score beyond a long is held at its end
                     out.append((np.full(len(best), query_ids[j]), np.array([y for _, y in best], np.int64), np.array([max(-(2**63), min(2**63 - 1, -x)) for x, _ in best], np.int64)))
-    cols = [np.concatenate([np.array([], np.int64), *(o[i] for o in out)]) for i in range(3)]
-    return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True)))
+        return out
+
+
+def _stream(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(shard, block, asks, vec_id, v, bound) in order: the candidates of a key come first, then its queries."""
+    key, parts, shard = None, [], None
+    for batch in batches:
+        group = np.stack([batch.column(i).to_numpy() for i in range(2)] + [batch.column(2).to_numpy(zero_copy_only=False).astype(int)], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
+        for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
+            if key != tuple(group[a, :2]):
+                key, parts, shard = tuple(group[a, :2]), [], None
+            rows = batch.slice(a, b - a)
+            ids, v = rows.column(3).to_numpy(), rows.column(4)
+            if not group[a, 2]:
+                parts.append((ids, v))
+                continue
+            if shard is None:
+                shard, parts = Shard(parts), []
+            found = shard.answer(ids, v, rows.column(5).cast(pa.float64()).to_numpy(zero_copy_only=False), k)
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -187,9 +208,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard: int = SH
     def round_of(at: DataFrame) -> DataFrame:
         """at: queries with a shard and a bound."""
         known = at.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block")).distinct()
-        sent = dealt.join(known, dealt["shard"] == known["to_shard"]).select("to_shard", "to_block", "vec_id", "v")
-        both = sent.groupBy("to_shard", "to_block").cogroup(at.select(F.col("shard").alias("q_shard"), F.col("block").alias("q_block"), F.col("query_id").alias("vec_id"), F.col("query").alias("v"), "bound").groupBy("q_shard", "q_block"))
-        return both.applyInArrow(lambda a, b: _answer(a, b, k), "query_id long, vec_id long, score long")
+        sent = dealt.join(known, dealt["shard"] == known["to_shard"]).select("to_shard", "to_block", F.lit(False), "vec_id", "v", F.lit(None).cast("long"))
+        both = sent.union(at.select("shard", "block", F.lit(True), "query_id", "query", "bound")).toDF("shard", "block", "asks", "vec_id", "v", "bound")
+        dealt_out = both.repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
+        return dealt_out.mapInArrow(lambda x: _stream(x, k), "query_id long, vec_id long, score long")
 
     none = F.lit(None).cast("long").alias("bound")
     home = F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")

@@ -99,8 +99,8 @@ def matches(field: Typed, op: str, value=None) -> Column:
                 found.append(_double(field.double, op, float(value)))
                 if op == "=":
                     near = field.double.between(value - EPSILON, value + EPSILON)
-                    if found[0] is not None and len(found) == 2:
-                        near = found[0] | near
+                    if len(found) == 2:  # as a range too: an equality that both sides share would be factored out
+                        near = near | field.int.between(ceil(value), floor(value))
     elif isinstance(value, str) and field.string is not None:
         found.append(_text(field.string, op, value))
     found = [c for c in found if c is not None]

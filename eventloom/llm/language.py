@@ -7,7 +7,8 @@ code length of a text is a sum over its positions, and the language with the sho
 
 The trees of all languages are compiled into one array: row (last K symbols, next symbol) holds
 the exact code length in bits for each language, escapes included. Scoring is then a gather and a
-segmented sum per text, with no tree walk.
+segmented sum per text, with no tree walk. What is sent to workers are the counts of the trees, which
+are small; each worker compiles them once.
 
 Bytes are lower-cased first (whole strings, by Unicode) and mapped to the most frequent
 ``symbols - 1`` byte values of the sample; all other values share one symbol.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .common import bound_batches, by_bytes, hashed_sample, table, texts_of
 #: Labelled texts that the trees of one language are trained on, at most.
 TRAIN_DOCS = 400
 #: Byte classes, the greatest order, and the most bytes that the compiled trees may take.
-SYMBOLS, ORDER, TABLE_BYTES = 40, 3, 96 << 20
+SYMBOLS, ORDER, TABLE_BYTES = 32, 3, 64 << 20
 #: Bytes scored at a time.
 CHUNK = 1 << 20
 UNDETERMINED = "und"
@@ -36,13 +38,35 @@ UNDETERMINED = "und"
 
 @dataclass
 class Trees:
-    """Compiled context trees; bits[context * symbols + next] has a code length per language."""
+    """Context trees of several languages, as counts over symbols."""
 
     langs: list[str]
     order: int
     symbols: int
     classes: bytes  # byte value -> symbol, for bytes.translate
-    bits: np.ndarray
+    counts: list[tuple[np.ndarray, np.ndarray]]  # of each language: (context, next) as one number, and how often
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """bits[context * symbols + next] has a code length per language."""
+        a = self.symbols
+        out = np.empty((a ** (self.order + 1), len(self.langs)), np.float32)
+        for i, (at, n) in enumerate(self.counts):
+            by_order = [np.bincount(at, n, a ** (self.order + 1)).astype(np.float32).reshape(-1, a)]  # of order K down to 0
+            for _ in range(self.order):
+                by_order.append(by_order[-1].reshape(a, -1, a).sum(0))
+            p = np.full((1, a), 1 / a, np.float32)
+            for count in reversed(by_order):
+                total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True, dtype=np.float32)
+                p = np.tile(p, (len(count) // len(p), 1))  # the code one order lower
+                some = total[:, 0] > 0
+                own, n_all = count[some], total[some] + distinct[some]
+                p[some] = np.where(own > 0, own, distinct[some] * p[some]) / n_all
+            out[:, i] = -np.log2(p).ravel()
+        return out
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code lengths in bits, one row per text and one column per language.
@@ -103,23 +127,14 @@ def compile_trees(langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]],
     kept = [int(b) for b in np.argsort(-seen, kind="stable")[: symbols - 1] if seen[b] > 0]
     of = np.full(256, symbols - 1, np.uint8)
     of[kept] = np.arange(len(kept))
-    table_bits = np.empty((symbols ** (order + 1), len(langs)), np.float32)
-    for i, (keys, n) in enumerate(grams):
+    counts = []
+    for keys, n in grams:
         at = np.zeros(len(keys), np.int64)
         for shift in range(8 * order, -1, -8):
             at = at * symbols + of[(keys >> shift) & 255]
-        count = np.bincount(at, n, symbols ** (order + 1)).reshape(-1, symbols)
-        by_order = [count]  # of order K down to 0
-        for _ in range(order):
-            by_order.append(by_order[-1].reshape(symbols, -1, symbols).sum(0))
-        p = np.full((1, symbols), 1 / symbols)
-        for count in reversed(by_order):
-            total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            lower = np.tile(p, (len(count) // len(p), 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(total == 0, lower, np.where(count > 0, count, distinct * lower) / (total + distinct))
-        table_bits[:, i] = -np.log2(p).ravel()
-    return Trees(langs, order, symbols, of.tobytes(), table_bits)
+        at, where = np.unique(at, return_inverse=True)
+        counts.append((at, np.bincount(where, n)))
+    return Trees(langs, order, symbols, of.tobytes(), counts)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

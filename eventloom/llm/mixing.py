@@ -24,6 +24,8 @@ from .common import materialize, table
 ENTROPY, REPEATS = 0.97, 2.0
 #: Tokens of a block, about, and the most blocks that a source is cut into.
 BLOCK_TOKENS, BLOCKS = 1 << 16, 4096
+#: Rows of the table of blocks up to which it is broadcast; a row takes some fifty bytes.
+BROADCAST = 500_000
 #: Cuts of the exponent's interval in a step, and steps.
 CUTS, STEPS = 16, 8
 SEED = 42
@@ -114,7 +116,10 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     blocks = materialize(total.groupBy("source", F.pmod("fine", F.lit(n)).cast("int").alias("block")).agg(F.sum("n_tokens").alias("n_tokens")), "blocks")
     sources = materialize(blocks.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")), "sources")
     power = exponent(sources, entropy, repeats, budget)
-    uses = materialize(schedule(blocks, weights(sources, power, budget), seed), "uses").select(F.col("source").alias("__source"), F.col("block").alias("__block"), F.col("uses").alias("__uses"))
+    uses = materialize(schedule(blocks, weights(sources, power, budget), seed), "uses")
+    if uses.count() <= BROADCAST:  # then texts need not be shuffled; beyond it they are, by source and block
+        uses = F.broadcast(uses)
+    uses = uses.select(F.col("source").alias("__source"), F.col("block").alias("__block"), F.col("uses").alias("__uses"))
     placed = counted.withColumn("block", block)
     joined = placed.join(uses, placed["source"].eqNullSafe(uses["__source"]) & (placed["block"] == uses["__block"]))
     return joined.select(*own.columns, "n_tokens", "block", F.explode("__uses").alias("__use")).select(*own.columns, "n_tokens", "block", "__use.epoch", "__use.mix_at")

@@ -106,7 +106,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 def _ratio(token: Column, ratios: list[float]) -> Column:
     """Summed log-likelihood ratio of a token's transitions; all its characters are in ALPHABET."""
-    model = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")  # folded to a literal
+    model = F.split(F.lit(",".join(f"{x:.3f}" for x in ratios)), ",").cast("array<double>")  # folded to a literal
     place = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
 

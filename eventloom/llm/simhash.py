@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, table, texts_of
@@ -293,14 +293,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     The row with the component's least doc_id stays; of several rows with that id, one. Rows with a
     null doc_id stay only if nothing in their component has an id, and then all of them.
     """
-    marked = near_duplicates(docs.select("doc_id", "text"))
-    leaders = marked.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    once = F.row_number().over(_window("doc_id"))
-    kept = docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.withColumn("__copy", once).where("doc_id IS NULL OR __copy = 1").select(*docs.columns)
-
-
-def _window(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    marked = materialize(near_duplicates(docs.select("doc_id", "text")), "marked")
+    leaders = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    # join and window deal rows by the same key, so texts are shuffled once
+    kept = docs.join(leaders, F.col("doc_id") == F.col("__keep"), "left_semi")
+    kept = kept.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__copy = 1").select(*docs.columns)
+    if marked.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
+        return kept
+    nameless = docs.where("doc_id IS NULL")
+    alone = marked.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__fp")).distinct()
+    told = fingerprints(nameless.select(F.struct(*docs.columns).alias("doc_id"), "text")).withColumn("__fp", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    return kept.union(told.join(alone, "__fp", "left_semi").select("doc_id.*"))

@@ -27,6 +27,8 @@ from .common import bound_batches, materialize, table
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors of a shard, queries of a block, and vectors of a leaf, about.
 SHARD, BLOCK, LEAF = 32_768, 1 << 18, 128
+#: Vectors of a shard where there would be fewer shards than cores.
+SMALLEST = 4096
 #: Sums up to this are exact in float64.
 EXACT = 2**53
 
@@ -201,14 +203,14 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard: int = SH
     spark = candidates.sparkSession
     bound_batches(spark)
     n, asked = candidates.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
+    cores = spark.sparkContext.defaultParallelism
+    shards, blocks = max(1, -(-n // shard), min(cores, n // SMALLEST)), max(1, -(-asked // block))
     dealt = candidates.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
     queries = queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
 
     def round_of(at: DataFrame) -> DataFrame:
         """at: queries with a shard and a bound."""
-        known = at.select(F.col("shard").alias("to_shard"), F.col("block").alias("to_block")).distinct()
-        sent = dealt.join(known, dealt["shard"] == known["to_shard"]).select("to_shard", "to_block", F.lit(False), "vec_id", "v", F.lit(None).cast("long"))
+        sent = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False), "vec_id", "v", F.lit(None).cast("long"))
         both = sent.union(at.select("shard", "block", F.lit(True), "query_id", "query", "bound")).toDF("shard", "block", "asks", "vec_id", "v", "bound")
         dealt_out = both.repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
         return dealt_out.mapInArrow(lambda x: _stream(x, k), "query_id long, vec_id long, score long")

@@ -290,17 +290,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, less all but one row of each component.
 
-    The row with the component's least doc_id stays; of several rows with that id, one. Rows with a
-    null doc_id stay only if nothing in their component has an id, and then all of them.
+    The row with the component's least doc_id stays; of several rows with that id, the one whose
+    id and text hash lowest, and of equal rows one. A row without an id comes after all that have one.
     """
-    marked = materialize(near_duplicates(docs.select("doc_id", "text")), "marked")
-    leaders = marked.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    row = F.xxhash64("doc_id", "text")
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row.alias("row"))  # an id of its own for each text of a doc_id
+    marked = near_duplicates(docs.select(named.alias("doc_id"), "text"))
+    leaders = marked.where("doc_id = component_id").select(F.col("component_id.row").alias("__row")).distinct()
     # join and window deal rows by the same key, so texts are shuffled once
-    kept = docs.join(leaders, F.col("doc_id") == F.col("__keep"), "left_semi")
-    kept = kept.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__copy = 1").select(*docs.columns)
-    if marked.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        return kept
-    nameless = docs.where("doc_id IS NULL")
-    alone = marked.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("__fp")).distinct()
-    told = fingerprints(nameless.select(F.struct(*docs.columns).alias("doc_id"), "text")).withColumn("__fp", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    return kept.union(told.join(alone, "__fp", "left_semi").select("doc_id.*"))
+    kept = docs.withColumn("__row", row).join(leaders, "__row", "left_semi")
+    return kept.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).where("__copy = 1").select(*docs.columns)

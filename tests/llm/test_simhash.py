@@ -129,3 +129,10 @@ def test_odd_rows(odd, empty):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7]
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.keep_one_of_each(empty).collect() == []
+
+
+def test_a_repeated_id_with_other_texts_loses_no_component(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcd"}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (7, text["c"]), (7, text["d"]), (None, text["d"])]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, text["a"]), (5, text["b"]), (7, text["c"]), (7, text["d"])]

@@ -15,7 +15,7 @@ only grow, this ends, and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -287,15 +287,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, less all but one row of each component.
+def keep_one_of_each(docs: DataFrame, mark: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """The rows of docs, less all but one row of each component that mark gives (doc_id, text) rows.
 
     The row with the component's least doc_id stays; of several rows with that id, the one whose
     id and text hash lowest, and of equal rows one. A row without an id comes after all that have one.
     """
     row = F.xxhash64("doc_id", "text")
     named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row.alias("row"))  # an id of its own for each text of a doc_id
-    marked = near_duplicates(docs.select(named.alias("doc_id"), "text"))
+    marked = mark(docs.select(named.alias("doc_id"), "text"))
     leaders = marked.where("doc_id = component_id").select(F.col("component_id.row").alias("__row")).distinct()
     # join and window deal rows by the same key, so texts are shuffled once
     kept = docs.withColumn("__row", row).join(leaders, "__row", "left_semi")

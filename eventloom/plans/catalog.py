@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from eventloom.sources.bindings import Binding, Table
 
 #: All of the tables' times lie in this range.
 ALL = {"start_time": 0, "end_time": 4102444800}
+#: In place of a limit: all rows or groups, however many.
+EVERY = "every"
 _TIMES = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 #: A JSON column in which k is missing, null, a number, a string, a fraction or a boolean.
 STATES = "CASE WHEN event_id % 6 = 0 THEN '{}' WHEN event_id % 6 = 1 THEN '{\"k\": null}' WHEN event_id % 6 = 2 THEN '{\"k\": \"s\"}' WHEN event_id % 6 = 3 THEN '{\"k\": 2.5}' WHEN event_id % 6 = 4 THEN '{\"k\": true}' ELSE props END"
@@ -36,9 +39,12 @@ ORACLES: dict[str, str] = {}
 def _add(name: str, query: dict, columns: dict[str, str], oracle: str) -> None:
     """Register a query under its name; columns renames (or, for a raw query, selects) what it returns."""
     query = (ALL if "start_time" not in query and "end_time" not in query else {}) | query
+    every = query.get("limit") == EVERY
+    query = {k: v for k, v in query.items() if not (every and k == "limit")}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = spec.parse(query)
+        q = replace(q, limit=None) if every else q
         return answer(q, bound(spark, sf_dir, q.namespace)).select(*(F.col(f"`{a}`").alias(b) for a, b in columns.items()))
 
     QUERIES[name], ORACLES[name] = run, oracle
@@ -61,7 +67,7 @@ _EVENT = _same("event_id", "user_id", "event_type", "value")
 _E = "event_id, user_id, event_type, value"
 
 
-def _filter(name: str, namespace: str, key: str, filters: list[dict], where: str, table: str | None = None, limit: int = 100_000_000) -> None:
+def _filter(name: str, namespace: str, key: str, filters: list[dict], where: str, table: str | None = None, limit: int | str = EVERY) -> None:
     """A raw query that returns the keys of all rows that pass."""
     _add(name, {"namespace": namespace, "filters": filters, "limit": limit}, _same(key), f"SELECT {key} FROM {table or namespace} WHERE {where}")
 
@@ -75,11 +81,11 @@ _add("raw_default_limit", {"namespace": "orders", "order_by": _order("@timestamp
 _add("raw_order_presence", {"namespace": "states", "order_by": _order("s.k", "event_id"), "filters": [_where(("s.k", "=", "s"))], "limit": 50}, _same("event_id"), "SELECT event_id FROM events WHERE event_id % 6 = 2 ORDER BY event_id LIMIT 50")
 
 _T = "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-07 00:00:00'"
-_add("time_start_end", {"namespace": "events", "start_time": 1704412800, "end_time": 1704585600, "limit": 10**8}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
-_add("time_start_range", {"namespace": "events", "start_time": 1704412800, "time_range": "48h", "limit": 10**8}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
-_add("time_end_range", {"namespace": "events", "end_time": 1704585600, "time_range": "47h60m", "limit": 10**8}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
-_add("time_units_ms", {"namespace": "events", "start_time": 1704412800000, "end_time": 1704585600000, "time_unit": "1ms", "limit": 10**8}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
-_add("time_units_hour", {"namespace": "events", "start_time": 473448, "end_time": 473496, "time_unit": "1h", "limit": 10**8}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
+_add("time_start_end", {"namespace": "events", "start_time": 1704412800, "end_time": 1704585600, "limit": EVERY}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
+_add("time_start_range", {"namespace": "events", "start_time": 1704412800, "time_range": "48h", "limit": EVERY}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
+_add("time_end_range", {"namespace": "events", "end_time": 1704585600, "time_range": "47h60m", "limit": EVERY}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
+_add("time_units_ms", {"namespace": "events", "start_time": 1704412800000, "end_time": 1704585600000, "time_unit": "1ms", "limit": EVERY}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
+_add("time_units_hour", {"namespace": "events", "start_time": 473448, "end_time": 473496, "time_unit": "1h", "limit": EVERY}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
 
 # filters
 
@@ -92,7 +98,7 @@ for _op, _short in _NAMES.items():
     _double = {"=": "abs(value - 42.5) < 1e-10", "!=": "abs(value - 42.5) >= 1e-10"}.get(_op, f"value {_SQL[_op]} 42.5")
     _filter(f"filter_{_short}_double", "events", "event_id", [_where(("value", _op, 42.5))], _double)
     _double = {"=": "abs(l_quantity - 25) < 1e-10", "!=": "abs(l_quantity - 25) >= 1e-10"}.get(_op, f"l_quantity {_SQL[_op]} 25")
-    _add(f"filter_{_short}_double_int_literal", {"namespace": "lineitem", "filters": [_where(("l_quantity", _op, 25))], "limit": 10**9}, _same("l_orderkey", "l_linenumber"), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_double}")
+    _add(f"filter_{_short}_double_int_literal", {"namespace": "lineitem", "filters": [_where(("l_quantity", _op, 25))], "limit": EVERY}, _same("l_orderkey", "l_linenumber"), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_double}")
 for _op in ("=", "!="):
     _filter(f"filter_{_NAMES[_op]}_bool", "flags", "event_id", [_where(("large", _op, True))], f"(value > 50) {_SQL[_op]} true", "events")
 for _op, _short, _sql in (
@@ -128,10 +134,7 @@ _filter("presence_any_field", "states", "event_id", [_where(("s.k", "exists"), (
 
 # groups
 
-_N = 10**8
-
-
-def _group(name: str, namespace: str, by: dict[str, str], calcs: dict[str, tuple[str, str | None]], sql: str, limit: int | None = _N, **more) -> None:
+def _group(name: str, namespace: str, by: dict[str, str], calcs: dict[str, tuple[str, str | None]], sql: str, limit: int | str | None = EVERY, **more) -> None:
     """by: alias -> field; calcs: alias -> (op, field)."""
     q = {"namespace": namespace, "group_by": list(by.values()), "calculations": [{"op": op} | ({"field": f} if f else {}) for op, f in calcs.values()], **more}
     columns = {f"key_{i}": a for i, a in enumerate(by)} | {f"value_{i}": a for i, a in enumerate(calcs)}

@@ -63,6 +63,11 @@ def value_of(field: Typed, kinds: set[str]) -> Column:
     return F.coalesce(*(c.cast(kind) for c in own))
 
 
+def first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows; all of them if there is no limit."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def raw(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
     """Source columns of the first rows in order; rows that lack a field that is ordered by are left out."""
     rows = filtered(query, bound)
@@ -73,7 +78,7 @@ def raw(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
     keys = [value_of(f, kinds[o.field]) for o, f in zip(query.order_by, fields, strict=True)]
     if keys:
         rows = rows.orderBy(*(k.desc() if o.descending else k.asc() for o, k in zip(query.order_by, keys, strict=True)))
-    return rows.limit(query.limit).select(*(f"`{c}`" for c in bound.source()))
+    return first(rows, query.limit).select(*(f"`{c}`" for c in bound.source()))
 
 
 def grouped(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
@@ -107,7 +112,7 @@ def grouped(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
             else:
                 order.append(column.desc() if o.descending else column.asc())
         out = out.orderBy(*order)
-    return out.limit(query.limit).select(*names, *(f"value_{i}" for i in range(len(values))))
+    return first(out, query.limit).select(*names, *(f"value_{i}" for i in range(len(values))))
 
 
 def bucket_range(start: int, end: int, granularity: int) -> tuple[int, int]:
@@ -121,9 +126,9 @@ def buckets(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
 
     The counts of the at most about a thousand buckets become one map, in which each bucket looks itself up.
     """
-    first, n = bucket_range(start_of(query, bound), query.end, query.granularity)
+    begin, n = bucket_range(start_of(query, bound), query.end, query.granularity)
     timed = filtered(query, bound).select(bound.nanos().alias("nanos"))
-    counts = timed.select(F.expr(f"(nanos - {first}) div {query.granularity}").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = timed.select(F.expr(f"(nanos - {begin}) div {query.granularity}").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     one = counts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts")).where(F.size("counts") > 0)
     each = one.select("counts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"))
-    return each.select((F.lit(first) + F.col("bucket") * F.lit(query.granularity)).alias("start_at_nanos"), F.coalesce(F.try_element_at("counts", F.col("bucket")), F.lit(0)).alias("value"))
+    return each.select((F.lit(begin) + F.col("bucket") * F.lit(query.granularity)).alias("start_at_nanos"), F.coalesce(F.try_element_at("counts", F.col("bucket")), F.lit(0)).alias("value"))

@@ -58,7 +58,7 @@ class Query:
     group_by: tuple[str, ...] = ()
     calculations: tuple[Calculation, ...] = ()
     order_by: tuple[OrderBy, ...] = ()
-    limit: int = RAW_LIMIT
+    limit: int | None = RAW_LIMIT
     kind: str = field(default="raw")
 
 

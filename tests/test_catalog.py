@@ -33,3 +33,9 @@ def test_query(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_only_queries_with_a_limit_in_sql_have_one(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
+    assert ("Limit" in plan) == ("LIMIT" in catalog.ORACLES[name])

@@ -4,11 +4,11 @@ Pieces of at most ``capacity`` tokens go into as few sequences as possible. What
 the histogram of their lengths, which has at most ``capacity`` entries however many pieces there
 are. A configuration is a multiset of lengths that fits a sequence; the linear program covers the
 histogram with the least total of configurations. It is solved by multiplicative weights: every
-length has a price, a knapsack dynamic program finds the dearest configuration, and the lengths
-that it covers become cheaper. Rounding uses each configuration as often as whole counts allow;
-what is left, a bounded number of sequences, is packed by configurations around the largest
-remaining length that leave the least slack. The plan is compared with plain best fit decreasing,
-and the better one stands.
+length has a price, a knapsack dynamic program finds the dearest configurations, and the lengths
+that they cover become cheaper. Rounding uses each configuration as often as whole counts allow;
+the program is solved anew over what is left, until that is a few percent of the tokens, which
+configurations around the largest remaining length that leave the least slack pack. The gap to the
+dual bound comes with the plan.
 
 Only the histogram reaches the driver. Pieces of a length are numbered within hash buckets, so no
 length is gathered in one task, and the number looks up the place that the plan gives it.
@@ -31,8 +31,10 @@ from .tokens import tokenizer
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 4096, 1
-#: Rounds of multiplicative weights, and how fast prices fall.
-ROUNDS, RATE = 80, 0.3
+#: Rounds of multiplicative weights, doubled up to so many while the duality gap is above GAP; how fast prices fall.
+ROUNDS, MOST_ROUNDS, GAP, RATE = 4, 32, 0.01, 0.3
+#: Difference of prices that counts as none; share of tokens that is left to the remainder.
+TIE, REST = 1e-3, 0.03
 #: Pieces of a length in a bucket, about, as long as that takes no more than so many buckets.
 BUCKET, BUCKETS = 1000, 4096
 #: Texts tokenized at a time.
@@ -41,58 +43,107 @@ STEP = 64
 
 @dataclass
 class Plan:
-    """configurations: (copies, {length: times}); lengths of a configuration are laid out in the order of the dict."""
+    """configurations: (copies, {length: times}); lengths of a configuration are laid out in the order of the dict.
+
+    rounded: sequences that come from configurations of the linear program; the others pack what
+    rounding left. bound: sequences that any packing needs at least, by the program's dual. gap: by
+    how much the first fractional solution is above it, as a share.
+    """
 
     configurations: list[tuple[int, dict[int, int]]]
+    rounded: int = 0
+    bound: float = 0.0
+    gap: float = 0.0
 
     @property
     def sequences(self) -> int:
         return sum(n for n, _ in self.configurations)
 
 
-def _knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The dearest multiset of lengths (ascending) that fits the capacity, each as often as wished."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, c, "right"))
-        worth = best[c - lengths[:n]] + price[:n]
-        k = int(worth.argmax())
-        if worth[k] > best[c - 1]:
-            best[c], last[c] = worth[k], k
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-        else:
-            length = int(lengths[last[c]])
-            out[length] = out.get(length, 0) + 1
-            c -= length
-    return out
-
+def _knapsack(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to the capacity, the price of the dearest multiset of lengths that fits it; each length at most ``most`` times."""
+    best = np.zeros(capacity + 1)
+    for length, p, n in zip(lengths.tolist(), price.tolist(), most.tolist(), strict=True):
+        n, k = min(n, capacity // length), 1
+        while n > 0:  # counts in powers of two
+            k = min(k, n)
+            size = k * length
+            np.maximum(best[size:], best[: capacity + 1 - size] + k * p, out=best[size:])
+            n, k = n - k, 2 * k
+    return best
+
+
+class _Covering:
+    """The covering program of a histogram, and its solution by multiplicative weights.
+
+    A length is to be covered ``count`` times, and a configuration has it at most that often. Prices
+    start in proportion to length, which is dual feasible. In a round each length is to be covered
+    by a further share of its count: the knapsack program prices every room, and from the longest
+    length on that lacks cover, the dearest configuration around it is walked through the program,
+    among equally dear ones by what lacks most. It is used until one of its lengths has its share
+    and that of the next round. Prices fall with the cover that a length has ahead of its share.
+    """
 
-def _fractional(lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[float, dict[int, int]]]:
-    """An approximate solution of the linear program: (how often, configuration), most often first."""
-    price, place = 1.0 / count, {int(x): i for i, x in enumerate(lengths)}
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        found = _knapsack(price, lengths, capacity)
-        at = np.array([place[x] for x in found])
-        times = np.array(list(found.values()))
-        # as often as the scarcest of its lengths stands: that one's price falls by the full rate
-        step = float((count[at] / times).min())
-        key = tuple(sorted(found.items(), reverse=True))
-        used[key] = used.get(key, 0.0) + step
-        price[at] *= np.exp(-rate * step * times / count[at])
-    covered = np.zeros(len(lengths))
-    for key, x in used.items():
-        for length, n in key:
-            covered[place[length]] += x * n
-    scale = np.divide(count, covered, out=np.zeros(len(lengths)), where=covered > 0)
-    # scaled so that no configuration asks for more than its scarcest length offers
-    return sorted(((x * min(scale[place[length]] for length, _ in key), dict(key)) for key, x in used.items()), key=lambda e: -e[0])
+    def __init__(self, left: dict[int, int], capacity: int, seed: int) -> None:
+        self.lengths = np.array(sorted(left))
+        self.count = np.array([left[x] for x in self.lengths.tolist()], float)
+        self.capacity = capacity
+        self.most = np.minimum(self.count, capacity // self.lengths).astype(np.int64)
+        self.random = np.random.default_rng(seed)
+
+    def _walk(self, first: int, price: np.ndarray, best: np.ndarray, weight: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and times of lengths in the dearest configuration around one length; weight chooses among equals."""
+        lengths = self.lengths
+        taken = {first: 1}
+        room = self.capacity - int(lengths[first])
+        while room >= lengths[0]:
+            n = int(np.searchsorted(lengths, room, "right"))
+            worth = best[room - lengths[:n]] + price[:n]
+            worth[most[:n] == 0] = -1.0
+            for i, k in taken.items():
+                if i < n and k >= most[i]:
+                    worth[i] = -1.0
+            top = worth.max()
+            if top <= 0:
+                break
+            near = np.flatnonzero(worth >= top - TIE)
+            so_far = np.cumsum(weight[near])
+            i = int(near[min(np.searchsorted(so_far, self.random.random() * so_far[-1], "right"), len(near) - 1)])
+            k = max(1, min(int(most[i]) - taken.get(i, 0), room // int(lengths[i]) // 8))  # short lengths that repeat, several at a time
+            taken[i] = taken.get(i, 0) + k
+            room -= k * int(lengths[i])
+        return np.fromiter(taken, np.int64, len(taken)), np.fromiter(taken.values(), np.int64, len(taken))
+
+    def solve(self, rounds: int, rate: float) -> tuple[list[tuple[float, dict[int, int]]], float, float]:
+        """(how often, configuration), most often first; their total; and the best dual bound."""
+        count, capacity = self.count, self.capacity
+        flat, least = self.lengths / capacity, 1e-9 * self.count
+        covered, used, bound = np.zeros(len(count)), {}, 0.0
+        for t in range(1, rounds + 1):
+            price = flat * np.exp(-rate * np.maximum(rounds * covered / count - (t - 1), 0.0))
+            best = _knapsack(price, self.lengths, self.most, capacity)
+            bound = max(bound, float(count @ price) / float(best[capacity]))
+            lack = np.maximum(count * (t / rounds) - covered, 0.0)
+            free = np.maximum(count * (min(t + 1, rounds) / rounds) - covered, 0.0)  # what may be covered in this round
+            lack[lack < least], free[free < least] = 0.0, 0.0
+            most = np.where(free > 0, self.most, 0)
+            weight = (lack + 1e-3 * free) * self.lengths.astype(float) ** 2
+            for first in range(len(count) - 1, -1, -1):
+                while lack[first] > 0:
+                    at, times = self._walk(first, price, best, weight, most)
+                    step = float((free[at] / times).min())
+                    if lack[first] < step:  # the others may go ahead, the first need not
+                        step = max(float(lack[first]), float((lack[at] / times).min()))
+                    key = tuple(zip(self.lengths[at].tolist(), times.tolist(), strict=True))
+                    used[key] = used.get(key, 0.0) + step
+                    covered[at] += step * times
+                    for x in (lack, free):
+                        x[at] = np.maximum(x[at] - step * times, 0.0)
+                        x[at[x[at] < least[at]]] = 0.0
+                    most[at[free[at] == 0]] = 0
+                    weight[at] = (lack[at] + 1e-3 * free[at]) * self.lengths[at].astype(float) ** 2
+        found = sorted(((x, dict(key)) for key, x in used.items()), key=lambda e: -e[0])
+        return found, sum(used.values()), bound
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -153,24 +204,47 @@ def _tightest(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """A plan that packs exactly the pieces of a histogram (length -> count, lengths 1 to capacity)."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> Plan:
+    """A plan that packs exactly the pieces of a histogram (length -> count, lengths 1 to capacity).
+
+    The covering program is solved and rounded, and again over what rounding leaves, as long as
+    that is more than ``REST`` of all tokens. A configuration is rounded down, but not below one, as
+    far as its lengths last, if no other around its longest length is fuller. The remainder is packed
+    by the fullest configurations around its longest pieces.
+    """
     left = {int(x): int(n) for x, n in histogram.items() if n}
     if not left:
         return Plan([])
-    lengths = np.array(sorted(left))
-    rounded: list[tuple[int, dict[int, int]]] = []
-    for x, take in _fractional(lengths, np.array([left[int(n)] for n in lengths], float), capacity, rounds):
-        copies = min([int(x), *(left[length] // n for length, n in take.items())])
-        # only full configurations are worth fixing before the rest is known
-        if copies > 0 and sum(length * n for length, n in take.items()) == capacity:
-            rounded.append((copies, take))
-            for length, n in take.items():
-                left[length] -= copies * n
-    every = {int(x): int(n) for x, n in histogram.items() if n}
-    made = Plan(rounded + _tightest(left, capacity))
-    if made.sequences > -(-sum(x * n for x, n in every.items()) // capacity):  # above what the tokens need at least
-        made = min(made, Plan(_tightest(every, capacity)), Plan(_best_fit(every, capacity)), key=lambda p: p.sequences)
+    tokens = lambda: sum(x * n for x, n in left.items())
+    made, every, phase = Plan([]), tokens(), 0
+    while left and tokens() > max(REST * every, 2 * capacity):
+        program = _Covering(left, capacity, phase)
+        if phase == 0:
+            found, total, made.bound = program.solve(rounds, rate)
+            while total > (1 + GAP) * made.bound and rounds < MOST_ROUNDS:
+                rounds *= 2
+                found, total, made.bound = program.solve(rounds, rate)
+            made.gap = total / made.bound - 1
+        else:
+            found, _, _ = program.solve(1, rate)
+        fullest = _knapsack(program.lengths.astype(float), program.lengths, program.most, capacity)
+        phase, before = phase + 1, made.rounded
+        for slack in (False, True)[: 2 if phase == 1 else 1]:  # with more slack only where the first solution has no others, and then rounded down
+            for x, take in found:
+                top = max(take)
+                if not slack and sum(length * n for length, n in take.items()) < top + fullest[capacity - top]:
+                    continue
+                copies = min([int(x) if slack else max(1, int(x)), *(left.get(length, 0) // n for length, n in take.items())])
+                if copies > 0:
+                    made.configurations.append((copies, take))
+                    made.rounded += copies
+                    for length, n in take.items():
+                        left[length] -= copies * n
+                        if not left[length]:
+                            del left[length]
+            if made.rounded > before:
+                break
+    made.configurations += _tightest(left, capacity)
     return made
 
 

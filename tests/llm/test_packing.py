@@ -36,6 +36,32 @@ def test_plan_is_near_the_bound():
     assert packing.plan(Counter(lengths.tolist())).sequences <= -(-int(lengths.sum()) // 4096) + 2
 
 
+def test_sequences_come_from_the_program(texts):
+    made, histogram = tokens.WordTokenizer(), Counter()
+    for ids in made.ids(list(texts.values())):
+        histogram[4096] += (len(ids) + 1) // 4096 * 40
+        histogram[(len(ids) + 1) % 4096] += 40
+    del histogram[0]
+    plan = packing.plan(histogram)
+    need = sum(x * n for x, n in histogram.items()) / 4096
+    assert plan.gap < 0.01 and plan.bound <= plan.sequences <= need + 1
+    assert plan.rounded > 0.95 * plan.sequences
+
+
+def test_dual_bound_and_knapsack():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        lengths = np.sort(r.choice(np.arange(1, 30), r.integers(1, 6), replace=False))
+        price, most = r.random(len(lengths)), r.integers(1, 4, len(lengths))
+        best = packing._knapsack(price, lengths, most, 30)
+        for room in range(31):
+            ways = [sum(n * p for n, p in zip(ns, price, strict=True)) for ns in np.ndindex(*(most + 1)) if sum(n * x for n, x in zip(ns, lengths, strict=True)) <= room]
+            assert abs(best[room] - max(ways)) < 1e-9
+    for lengths in ([2049] * 9, [1365] * 500, [2100] * 5 + [1900] * 5, [4000] * 3 + [90] * 40):
+        plan = packing.plan(Counter(lengths))
+        assert plan.bound <= plan.sequences + 1e-9
+
+
 def check(rows, docs, capacity):
     """rows hold every document's ids once each, in gapless sequences."""
     made = tokens.WordTokenizer()

@@ -6,11 +6,14 @@ are first-order models over ``ALPHABET``, trained on labelled samples; what coun
 logarithm of the ratio of the two probabilities, summed over the transitions of a token.
 
 Positions are code points. A pattern's matches and the pieces between them give them: a match
-starts after all pieces up to it and all matches before it.
+starts after all pieces up to it and all matches before it. Running sums and maxima over the spans of
+a text go block by block (``running``), as an array that grows by one element at each step would be
+copied each time; so the work is linear in the text, however many spans it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,24 +41,71 @@ SAMPLE_DOCS, RANDOM_STRINGS = 80, 1500
 #: What redaction puts in place of a span.
 MASK = "[SECRET]"
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Elements of an array that are scanned as one block.
+BLOCK = 256
 
 
-def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans (start, kind, end) of the pattern's leftmost matches that do not overlap; texts without any cost one scan."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(judged, F.length).alias("judged"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(xs: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For each element the join of start and the values of all elements before it.
+
+    Blocks of the array are joined first, then the joins of whole blocks, then the elements of each block.
+    """
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["judged"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def exclusive(ys: Column, of: Callable[[Column], Column], begin: Column) -> Column:
+        none = F.slice(F.array(begin), 1, 0)
+        step = lambda acc, y: F.struct(join(acc["at"], of(y)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(ys, F.struct(begin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    none = F.lit(None).cast(_SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(_SPAN)).alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, BLOCK))
+
+    def whole(blocks: Column) -> Column:
+        joins = F.transform(blocks, lambda b: F.aggregate(b, start, lambda acc, x: join(acc, value(x))))
+        return F.flatten(F.zip_with(blocks, exclusive(joins, lambda x: x, start), lambda b, begin: exclusive(b, value, begin)))
+
+    return let(xs, lambda v: F.when(F.size(v) > 0, let(cut(v), whole)).otherwise(F.slice(F.array(start), 1, 0)))
+
+
+#: A match: its kind, its place in code points and in bytes, and its text where it is to be judged.
+_SPAN = "array<struct<start:int,kind:int,end:int,from:int,to:int,token:string>>"
+
+
+def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, judge: bool = False) -> Column:
+    """The pattern's leftmost matches that do not overlap, by start; texts without any cost one scan. judge: with their text."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    judged = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    rows = F.zip_with(
+        F.arrays_zip(found.alias("found"), judged.alias("judged")),
+        F.split(text, pattern, -1),
+        lambda x, gap: F.struct(F.length(gap).alias("gap"), F.octet_length(gap).alias("wide"), F.length(x["found"]).alias("size"), F.octet_length(x["found"]).alias("bytes"), F.length(x["judged"]).alias("judged"), x["found"].alias("found")),
+    )
+
+    def placed(rows: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"))
+        before = running(rows, lambda x: F.struct((x["gap"] + x["size"]).alias("at"), (x["wide"] + x["bytes"]).alias("byte")), lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), (a["byte"] + b["byte"]).alias("byte")), zero)
+        spans = F.zip_with(
+            rows,
+            before,
+            lambda x, b: F.struct(
+                (b["at"] + x["gap"]).alias("start"),
+                F.lit(kind).alias("kind"),
+                (b["at"] + x["gap"] + x["size"]).alias("end"),
+                (b["byte"] + x["wide"]).alias("from"),
+                (b["byte"] + x["wide"] + x["bytes"]).alias("to"),
+                (x["found"] if judge else F.lit(None).cast("string")).alias("token"),
+            ),
+        )
+        if group == 0 and not least:
+            return spans
+        return F.filter(F.zip_with(spans, rows, lambda s, x: F.when(x["judged"] >= least, s)), lambda s: s.isNotNull())
+
+    # the last piece has no match after it
+    spans = let(F.filter(rows, lambda x: x["size"].isNotNull()), placed).cast(_SPAN)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -117,15 +167,25 @@ def _ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.filter(place, lambda p: p >= 0), start, step, lambda acc: acc["sum"])
 
 
-def learned_spans(text: Column, base: Column, ratios: list[float], least: float = LEAST, each: float = LEAST_EACH) -> Column:
-    """Spans of tokens that look random and touch no base span."""
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def apart(tokens: Column, base: Column) -> Column:
+    """Those of tokens that touch no base span; both by start."""
+    mark = lambda xs, is_token: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(is_token).alias("is_token"), s.alias("span")))
+    far = 2**31 - 1
 
-    def random(s: Column) -> Column:
-        size = s["end"] - s["start"]
-        return _ratio(F.substring(text, s["start"] + 1, size), ratios) >= F.greatest(F.lit(least), (size - 1) * F.lit(each))
+    def judged(all_: Column) -> Column:
+        ended = running(all_, lambda x: F.when(x["is_token"], F.lit(0)).otherwise(x["end"]), F.greatest, F.lit(0))
+        ahead = F.reverse(running(F.reverse(all_), lambda x: F.when(x["is_token"], F.lit(far)).otherwise(x["start"]), F.least, F.lit(far)))
+        rows = F.arrays_zip(all_.alias("x"), ended.alias("ended"), ahead.alias("ahead"))
+        free = F.filter(rows, lambda r: r["x"]["is_token"] & (r["ended"] <= r["x"]["start"]) & (r["ahead"] >= r["x"]["end"]))
+        return F.transform(free, lambda r: r["x"]["span"])
 
-    return F.filter(F.filter(_matches(text, TOKEN, len(KINDS)), apart), random)
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(mark(tokens, True), mark(base, False))), judged)).otherwise(tokens)
+
+
+def learned_spans(text: Column, base: Column, ratios: list[float], least: float = LEAST, each: float = LEAST_EACH) -> Column:
+    """Spans of tokens that look random and touch no base span."""
+    random = lambda s: _ratio(s["token"], ratios) >= F.greatest(F.lit(least), (s["end"] - s["start"] - 1) * F.lit(each))
+    return F.filter(let(_matches(text, TOKEN, len(KINDS), judge=True), lambda found: apart(found, base)), random)
 
 
 def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -153,14 +213,15 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
 def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs with every span of text replaced by MASK (one for spans that overlap), and n_chars, where there, set anew for changed texts."""
-    text = F.coalesce("text", F.lit(""))
+    raw = F.coalesce("text", F.lit("")).cast("binary")  # cut by bytes, as code points would be counted from the start each time
+    piece = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def masked(spans: Column) -> Column:
+        done = running(spans, lambda s: s["to"], F.greatest, F.lit(0))  # where the spans before end
+        parts = F.zip_with(spans, done, lambda s, d: F.when(s["from"] >= d, F.concat(piece(d, s["from"]), F.lit(MASK))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(spans, lambda s: s["to"])), F.octet_length(raw)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    joined = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    joined = let(F.col("__spans"), masked)
     changed = F.size("__spans") > 0
     found = spans(docs, ratios).withColumn("__clean", F.when(changed, joined).otherwise(F.col("text")))
     size = F.length("__clean").cast(dict(docs.dtypes).get("n_chars", "long"))

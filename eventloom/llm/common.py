@@ -5,10 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,6 +59,34 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is written where dots part fields."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like the given one that df has no column of, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow for columns of any name, dots included."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str | None]:
     """A string column of a batch as Python strings."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
@@ -89,9 +117,9 @@ def hashed_sample(rows: DataFrame, key: str, most: int, group: str | None = None
         few = rows.select(key, group, spread).join(count, group)
     else:
         few = rows.select(key, spread).withColumn("__rows", F.lit(rows.count()))
-    few = few.where(F.col("__at") * F.col("__rows") < 2 * most)
+    few = few.where(F.col("__at") * F.col("__rows") < 2 * most).select(key, *by, "__at").distinct()  # a key that repeats counts once
     first = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__at", key)
-    return few.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= most).select(key, *by).distinct()
+    return few.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= most).select(key, *by)
 
 
 def extended(schema: StructType, **more: str) -> StructType:

@@ -5,13 +5,15 @@ seen costs that context's escape (method C: distinct symbols / (total + distinct
 coded one order lower, down to a uniform code. The statistics are frozen after training, so the
 code length of a text is a sum over its positions, and the language with the shortest code wins.
 
-The trees of all languages are compiled into one array: row (last K symbols, next symbol) holds
-the exact code length in bits for each language, escapes included. Scoring is then a gather and a
-segmented sum per text, with no tree walk. What is sent to workers are the counts of the trees, which
-are small; each worker compiles them once.
-
-Bytes are lower-cased first (whole strings, by Unicode) and mapped to the most frequent
-``symbols - 1`` byte values of the sample; all other values share one symbol.
+The trees are compiled into sorted tables, one for each order: a row for each gram that some language
+has seen, with its exact code length in every language, escapes included. A position of a text is
+looked up in the table of the greatest order; if no language has seen its gram there, it costs the
+context's escapes and is looked up one order lower. Scoring is a binary search and a segmented sum per
+text, with no tree walk. Languages are compiled in groups, so that a group's tables stay small however
+many languages there are; a group's code lengths do not depend on the others. What is sent to workers
+are the counts of the trees; each worker compiles them once.
+
+Bytes are those of the text in UTF-8, lower-cased first (whole strings, by Unicode).
 """
 
 from __future__ import annotations
@@ -22,58 +24,107 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, by_bytes, hashed_sample, table, texts_of
+from .common import bound_batches, by_bytes, columns, hashed_sample, map_batches, quoted, table, texts_of
 
-#: Labelled texts that the trees of one language are trained on, at most.
-TRAIN_DOCS = 400
-#: Byte classes, the greatest order, and the most bytes that the compiled trees may take.
-SYMBOLS, ORDER, TABLE_BYTES = 32, 3, 64 << 20
+#: Labelled texts that the trees of one language are trained on, and distinct grams that it keeps (the most frequent), at most.
+TRAIN_DOCS, TRAIN_GRAMS = 400, 1 << 20
+#: The greatest order of a context, in bytes.
+ORDER = 3
+#: Rows times languages of a group's tables, about.
+CELLS = 1 << 24
 #: Bytes scored at a time.
 CHUNK = 1 << 20
 UNDETERMINED = "und"
+#: Bits a byte of a code that knows nothing, and from which on a text is in none of the languages: the
+#: escapes have made it half as long again. Ordinary text of languages learned from other texts takes 2 to 10.
+FLAT, FOREIGN = 8.0, 12.0
+
+
+@dataclass
+class Group:
+    """Compiled trees of some languages. Of each order: grams and contexts, ascending, and bits with a column for each language."""
+
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def at(self, gram: np.ndarray, order: int) -> np.ndarray:
+        """Code lengths of the last byte of grams of order + 1 bytes in the context of the others."""
+        table = self.grams[order]
+        place = np.minimum(np.searchsorted(table, gram), len(table) - 1)
+        out = self.bits[order][place]
+        new = np.flatnonzero(table[place] != gram)
+        if len(new):
+            gram = gram[new]
+            known = self.contexts[order]
+            place = np.minimum(np.searchsorted(known, gram >> 8), len(known) - 1)
+            escape = np.where((known[place] == gram >> 8)[:, None], self.escapes[order][place], 0)
+            out[new] = escape + (self.at(gram & ((1 << 8 * order) - 1), order - 1) if order else FLAT)
+        return out
+
+
+def compile_group(counts: list[tuple[np.ndarray, np.ndarray]], order: int) -> Group:
+    """Tables from each language's counts of grams of order + 1 bytes (big-endian integers, ascending, and how often)."""
+    made = Group([], [], [], [])
+    lower = None
+    for k in range(order + 1):
+        mask = (1 << 8 * (k + 1)) - 1
+        grams = np.unique(np.concatenate([g & mask for g, _ in counts]))
+        n = np.stack([np.bincount(np.searchsorted(grams, g & mask), c, len(grams)) for g, c in counts], 1)
+        contexts, of = np.unique(grams >> 8, return_inverse=True)
+        total, distinct = (np.stack([np.bincount(of, x, len(contexts)) for x in y.T], 1) for y in (n, n > 0))
+        seen = total > 0
+        every = np.where(seen, total + distinct, 1.0)
+        escape = np.where(seen, np.log2(every / np.maximum(distinct, 1)), 0.0)
+        below = FLAT if lower is None else lower[np.searchsorted(made.grams[-1], grams & (mask >> 8))]
+        with np.errstate(divide="ignore"):
+            bits = np.where(n > 0, np.log2(every[of]) - np.log2(n), escape[of] + below)
+        lower = bits
+        made.grams.append(grams)
+        made.bits.append(bits.astype(np.float32))
+        made.contexts.append(contexts)
+        made.escapes.append(escape.astype(np.float32))
+    return made
 
 
 @dataclass
 class Trees:
-    """Context trees of several languages, as counts over symbols."""
+    """Context trees of several languages, as counts of grams of order + 1 bytes."""
 
     langs: list[str]
     order: int
-    symbols: int
-    classes: bytes  # byte value -> symbol, for bytes.translate
-    counts: list[tuple[np.ndarray, np.ndarray]]  # of each language: (context, next) as one number, and how often
+    counts: list[tuple[np.ndarray, np.ndarray]]  # of each language: grams, ascending, and how often
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+        return {k: v for k, v in self.__dict__.items() if k != "groups"}
 
     @cached_property
-    def bits(self) -> np.ndarray:
-        """bits[context * symbols + next] has a code length per language."""
-        a = self.symbols
-        out = np.empty((a ** (self.order + 1), len(self.langs)), np.float32)
-        for i, (at, n) in enumerate(self.counts):
-            by_order = [np.bincount(at, n, a ** (self.order + 1)).astype(np.float32).reshape(-1, a)]  # of order K down to 0
-            for _ in range(self.order):
-                by_order.append(by_order[-1].reshape(a, -1, a).sum(0))
-            p = np.full((1, a), 1 / a, np.float32)
-            for count in reversed(by_order):
-                total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True, dtype=np.float32)
-                p = np.tile(p, (len(count) // len(p), 1))  # the code one order lower
-                some = total[:, 0] > 0
-                own, n_all = count[some], total[some] + distinct[some]
-                p[some] = np.where(own > 0, own, distinct[some] * p[some]) / n_all
-            out[:, i] = -np.log2(p).ravel()
-        return out
+    def groups(self) -> list[Group]:
+        """The languages in groups of consecutive ones whose grams, times languages, are about CELLS at most."""
+        out, held, rows = [], [], 0
+        for c in self.counts:
+            if held and (rows + len(c[0])) * (len(held) + 1) > CELLS:
+                out.append(compile_group(held, self.order))
+                held, rows = [], 0
+            held.append(c)
+            rows += len(c[0])
+        return [*out, compile_group(held, self.order)]
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of grams in all languages."""
+        found = [g.at(grams, self.order) for g in self.groups]
+        return found[0] if len(found) == 1 else np.concatenate(found, 1)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Code lengths in bits, one row per text and one column per language.
 
         Every text starts in the context of spaces; an empty text costs nothing.
         """
-        k, a = self.order, self.symbols
+        k = self.order
         raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
         out = np.zeros((len(raw), len(self.langs)))
         for lo, hi in by_bytes(raw, CHUNK):
@@ -84,13 +135,12 @@ class Trees:
             else:
                 pieces, owner = [pad + pad.join(raw[lo:hi])], None
             for piece in pieces:
-                s = np.frombuffer(piece.translate(self.classes), np.uint8).astype(np.int32)
+                s = np.frombuffer(piece, np.uint8).astype(np.int64)
                 at = s[: len(s) - k].copy()
                 for j in range(1, k + 1):
-                    at *= a
-                    at += s[j : len(s) - k + j]
+                    at = at << 8 | s[j : len(s) - k + j]
                 if owner is not None:
-                    out[owner] += self.bits[at].sum(0, dtype=np.float64)
+                    out[owner] += self.bits(at).sum(0, dtype=np.float64)
                     continue
                 # positions of text i in `at`: its bytes, then the k that belong to the next one's padding
                 size = np.fromiter(map(len, raw[lo:hi]), np.int64, hi - lo)
@@ -100,7 +150,7 @@ class Trees:
                     cuts = np.stack([start[full], (start + size)[full]], 1).ravel()
                     if cuts[-1] == len(at):
                         cuts = cuts[:-1]
-                    out[lo:hi][full] = np.add.reduceat(self.bits[at], cuts, axis=0, dtype=np.float64)[::2]
+                    out[lo:hi][full] = np.add.reduceat(self.bits(at), cuts, axis=0, dtype=np.float64)[::2]
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -113,28 +163,13 @@ class Trees:
         return [self.langs[i] for i in best], share, low / size
 
 
-def compile_trees(langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], symbols: int = SYMBOLS, order: int = ORDER, most: int = TABLE_BYTES) -> Trees:
-    """Trees from each language's counts of four-byte grams (big-endian integers, counts).
-
-    The order falls, if need be, until the compiled array takes at most ``most`` bytes.
-    """
-    while order > 1 and symbols ** (order + 1) * 4 * len(langs) > most:
-        order -= 1
-    seen = np.zeros(256)
-    for keys, n in grams:
-        seen += np.bincount(keys & 255, n, 256)
-    seen[32] = seen.max() + 1  # the space stands for the start of a text
-    kept = [int(b) for b in np.argsort(-seen, kind="stable")[: symbols - 1] if seen[b] > 0]
-    of = np.full(256, symbols - 1, np.uint8)
-    of[kept] = np.arange(len(kept))
+def compile_trees(langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Trees:
+    """Trees from each language's counts of grams of order + 1 bytes (big-endian integers, counts)."""
     counts = []
     for keys, n in grams:
-        at = np.zeros(len(keys), np.int64)
-        for shift in range(8 * order, -1, -8):
-            at = at * symbols + of[(keys >> shift) & 255]
-        at, where = np.unique(at, return_inverse=True)
-        counts.append((at, np.bincount(where, n)))
-    return Trees(langs, order, symbols, of.tobytes(), counts)
+        by = np.argsort(keys)
+        counts.append((keys[by].astype(np.int64), n[by].astype(np.int64)))
+    return Trees(langs, order, counts)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +192,16 @@ def train(labelled: DataFrame, docs: int = TRAIN_DOCS) -> Trees | None:
     """Trees from (doc_id, lang, text) rows: of each language the ``docs`` rows whose ids hash lowest.
 
     Rows without a language or text are not used. None if no row is left. Only gram counts of
-    that bounded sample reach the driver.
+    that sample reach the driver, the ``TRAIN_GRAMS`` most frequent ones of a language.
     """
     spark = labelled.sparkSession
     bound_batches(spark)
     rows = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     ids = hashed_sample(rows, "doc_id", docs, "lang")
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    got = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"]).select("lang", "text")
+    got = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    got = got.withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= TRAIN_GRAMS).drop("rank").toArrow()
     lang, gram, n = (got.column(c).to_numpy() for c in ("lang", "gram", "n"))
     langs = sorted(set(lang))
     if not langs:
@@ -182,7 +219,7 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text", carry: li
     spark = docs.sparkSession
     bound_batches(spark)
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    schema = docs.select(*carry).schema
+    schema = docs.select(*map(quoted, carry)).schema
     for name, kind in zip(names, ("string", "double", "double"), strict=True):
         schema = schema.add(name, kind)
     sent = spark.sparkContext.broadcast(trees)
@@ -203,7 +240,7 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text", carry: li
                 [*carry, *names],
             )
 
-    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)
+    return map_batches(docs.select(*map(quoted, dict.fromkeys([*carry, text]))), run, schema)
 
 
 def held_out():
@@ -222,6 +259,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """Rows of docs whose text is in some language, that is, not ``und``."""
+    """Rows of docs whose text is in one of the languages.
+
+    ``und`` goes, and so does a text that the best language codes in ``FOREIGN`` bits a byte or more: one in
+    a script that no language has, or noise. Without trees nothing stays.
+    """
     names = ("__found_lang", "__found_score", "__found_bits")
-    return identify(docs, trees, names=names).where(F.col(names[0]) != UNDETERMINED).select(*docs.columns)
+    found = identify(docs, trees, names=names).where((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) < FOREIGN))
+    return found.select(*columns(docs))

@@ -9,7 +9,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one two three four five"), (4, "o
 def odd(spark):
     from pyspark.sql import functions as F
 
-    more = {c: F.lit(1) for c in ("score", "block", "fp", "lang_pred", "n_tokens", "rank", "u", "__rank")}
+    more = {c: F.lit(777) for c in ("score", "block", "fp", "lang_pred", "n_tokens", "rank", "u", "__rank", "epoch", "mix_at", "__source", "__uses", "__keep", "__copy", "__row", "__block", "__spans", "__base", "__clean", "a.b")}
     return spark.createDataFrame(ODD, DOC).withColumns(more | {"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
 
 

@@ -34,10 +34,9 @@ def test_code_lengths_are_those_of_the_trees():
         for k in range(4):
             key = (padded[i + 3 - k : i + 3], padded[i + 3])
             counts[key] = counts.get(key, 0) + 1
-    trees = language.compile_trees(["x"], [(np.array(list(grams)), np.array(list(grams.values())))], symbols=8, order=3)
-    assert trees.order == 3
-    for text in ("abra", "cab dab", "a", "bbbbb", "rd c"):
-        assert abs(trees.lengths([text])[0, 0] - brute(counts, 8, text, 3)) < 1e-4
+    trees = language.compile_trees(["x"], [(np.array(list(grams)), np.array(list(grams.values())))], order=3)
+    for text in ("abra", "cab dab", "a", "bbbbb", "rd c", "xyz", "ab~ra"):
+        assert abs(trees.lengths([text])[0, 0] - brute(counts, 256, text, 3)) < 1e-4
     # texts in one batch, empty ones among them, and a text in pieces cost the same as alone
     many = ["abra", "", "cab", "a" * 50, ""]
     together = trees.lengths(many)[:, 0]
@@ -47,6 +46,24 @@ def test_code_lengths_are_those_of_the_trees():
     language.CHUNK = chunk
 
 
+def test_no_language_changes_another(monkeypatch):
+    """Order and contexts are the same for 1, 17 and 200 languages, in one group or many."""
+    r = np.random.default_rng(3)
+    grams = []
+    for _ in range(200):
+        letters = r.choice(np.arange(97, 256), 12, replace=False)
+        text = r.choice(letters, 400)
+        keys, n = np.unique(text[:-3].astype(np.int64) << 24 | text[1:-2] << 16 | text[2:-1] << 8 | text[3:], return_counts=True)
+        grams.append((keys, n))
+    texts = ["abc defg", "þß÷ é ñandú", "zzz", "日本"]
+    alone = np.concatenate([language.compile_trees(["x"], [g]).lengths(texts) for g in grams], 1)
+    for n in (17, 200):
+        for cells in (1 << 24, 10_000):
+            monkeypatch.setattr(language, "CELLS", cells)
+            trees = language.compile_trees([str(i) for i in range(n)], grams[:n])
+            assert trees.order == 3 and np.allclose(trees.lengths(texts), alone[:, :n], rtol=1e-5)
+
+
 def test_held_out_accuracy(spark, documents):
     got = language.op1_language_id(spark, "/root/testdata/sf0.01").toPandas()
     lang = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id").lang
@@ -67,6 +84,13 @@ def test_odd_rows(spark, odd, empty, documents):
     assert kept.columns == odd.columns and kept.where("doc_id IN (1, 2, 3)").isEmpty() and kept.where("doc_id = 4").count() == 2
 
 
+def test_noise_and_other_scripts_go(spark, documents):
+    r = np.random.default_rng(7)
+    noise = ["".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 400)), "これは日本語の文章です。" * 10, "Это русский текст, и его никто не учил. " * 5]
+    rows = spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string").selectExpr("*", "NULL `a.b`")
+    assert language.keep_identified(rows, language.train(documents)).collect() == []
+
+
 def test_clean_documents_are_kept(documents):
     trees = language.train(documents.where(~language.held_out()))
     assert language.keep_identified(documents, trees).count() == documents.count()

@@ -6,9 +6,10 @@ of sources: it is the largest whose entropy reaches the target, or the smallest
 source within the repetition limit, whichever is larger. So nothing depends on how many sources
 there are.
 
-A source is cut into hash blocks. Its budget, weight times total, is spent in epochs: whole passes
-over all its blocks, each in an order of its own, and then as many blocks of one more order as come
-closest to what is left. A row's ``mix_at`` in [0, 1) says where in the mixture it stands.
+A source is cut into hash blocks of about ``BLOCK_TOKENS`` tokens of its own. Its budget, weight times
+total, is spent in epochs: whole passes over all its blocks, each in an order of its own, and then as
+many blocks of one more order as come closest to what is left. A row's ``mix_at`` in [0, 1) says where
+in the mixture it stands; ``in_order`` puts rows there.
 """
 
 from __future__ import annotations
@@ -18,25 +19,28 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, quoted, table
 
 #: Entropy to reach, as a share of that of uniform weights, and how often a source may be repeated.
 ENTROPY, REPEATS = 0.97, 2.0
 #: Tokens of a block, about, and the most blocks that a source is cut into.
 BLOCK_TOKENS, BLOCKS = 1 << 16, 4096
-#: Rows of the table of blocks up to which it is broadcast; a row takes some fifty bytes.
-BROADCAST = 500_000
+#: Bytes of a table of sources or blocks up to which it is broadcast.
+BROADCAST = 32 << 20
 #: Cuts of the exponent's interval in a step, and steps.
 CUTS, STEPS = 16, 8
 SEED = 42
 
-#: A document's tokens: its words and an end.
-WORD = r"[^\x20\x09-\x0D]+"
+#: A document's tokens are estimated as tokenizers split before they merge: runs of letters, single digits,
+#: runs of other signs, and single letters of scripts that are written without spaces; and an end.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+TOKEN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+|\p{{N}}|[^\x20\x09-\x0D\p{{L}}\p{{M}}\p{{N}}]+"
+#: Columns that mixing adds.
+NAMES = ("block", "epoch", "mix_at", "n_tokens")
 
 
 def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long") + 1
-
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long") + 1
 
 
 def exponent(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> float:
@@ -86,7 +90,9 @@ def weights(sources: DataFrame, power: float, budget: float | None = None) -> Da
 def schedule(blocks: DataFrame, weighted: DataFrame, seed: int = SEED) -> DataFrame:
     """(source, block, uses): uses are the (epoch, mix_at) of a block, as many as it is repeated.
 
-    A source has at most ``BLOCKS`` blocks, so the running sums over its blocks are small.
+    blocks: (source, block, n_tokens), a null block not among them; weighted: as ``weights`` gives it. A
+    null source is a source. A source has at most ``BLOCKS`` blocks, so the running sums over its blocks
+    are small; ties in a permutation's order go to smaller blocks.
     """
     whole = F.floor(F.col("epochs") + 1e-9).cast("int")
     rest = F.greatest(F.col("epochs") - whole, F.lit(0.0)) * F.col("__all")
@@ -99,30 +105,47 @@ def schedule(blocks: DataFrame, weighted: DataFrame, seed: int = SEED) -> DataFr
     return rows.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", F.least("mix_at", F.lit(1 - 1e-12)).alias("mix_at")))).alias("uses"))
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, seed: int = SEED) -> DataFrame:
+def _sized(small: DataFrame, row: Column) -> DataFrame:
+    """A written table, to be broadcast if its rows take ``BROADCAST`` bytes at most; row: bytes of one."""
+    size = small.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + row)).first()[0] or 0
+    return F.broadcast(small) if size <= BROADCAST else small
+
+
+def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, seed: int = SEED, names: tuple[str, str, str, str] = NAMES) -> DataFrame:
     """docs with block int, epoch int, mix_at double, n_tokens long: a row for each time that a document is used.
 
     A null source is a source of its own; a null text counts one token. With the default budget
-    every document is used once at least; a given budget may leave blocks out. Columns of docs with
-    the added names are replaced. Equal rows share a block and are used alike. An empty table gives
-    no rows.
+    every document is used once at least; a given budget may leave blocks out. names: of the added
+    columns; columns of docs that are called so are left out, all others are carried as they are.
+    Equal rows share a block and are used alike. An empty table gives no rows.
     """
-    own = docs.drop("block", "epoch", "mix_at", "n_tokens", "__uses")
-    counted = own.withColumn("n_tokens", tokens(F.col("text")))
-    total = materialize(counted.groupBy(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(BLOCKS)).alias("fine"), "source").agg(F.sum("n_tokens").alias("n_tokens")), "fine")
-    n = max(1, min(BLOCKS, (total.agg(F.sum("n_tokens")).first()[0] or 0) // BLOCK_TOKENS))
-    # the coarser blocks are unions of the fine ones, so the texts are counted once for both
-    block = F.pmod(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(BLOCKS)), F.lit(n)).cast("int")
-    blocks = materialize(total.groupBy("source", F.pmod("fine", F.lit(n)).cast("int").alias("block")).agg(F.sum("n_tokens").alias("n_tokens")), "blocks")
-    sources = materialize(blocks.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")), "sources")
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    # the row is carried in one column, so that no name of its columns meets one from here
+    rows = docs.select(F.struct(F.lit(0).alias("__any"), *(F.col(quoted(c)) for c in own)).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), tokens(F.col("text")).alias("n_tokens"))
+    fine = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(BLOCKS)).cast("int").alias("fine")
+    total = materialize(rows.groupBy("source", fine).agg(F.sum("n_tokens").alias("n_tokens")), "fine")
+    # the blocks of a source are unions of the fine ones, so the texts are counted once for both
+    n_blocks = F.least(F.greatest(F.round(F.sum("n_tokens") / BLOCK_TOKENS), F.lit(1)), F.lit(BLOCKS)).cast("int")
+    sources = materialize(total.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), n_blocks.alias("n_blocks")), "sources")
+    per = _sized(sources, F.lit(64)).select(F.col("source").alias("__source"), "n_blocks")
+    of_source = F.col("source").eqNullSafe(F.col("__source"))
+    block = F.pmod(F.col("fine"), F.col("n_blocks")).alias("block")
+    blocks = materialize(total.join(per, of_source).groupBy("source", block).agg(F.sum("n_tokens").alias("n_tokens")), "blocks")
     power = exponent(sources, entropy, repeats, budget)
-    uses = materialize(schedule(blocks, weights(sources, power, budget), seed), "uses")
-    if uses.count() <= BROADCAST:  # then texts need not be shuffled; beyond it they are, by source and block
-        uses = F.broadcast(uses)
-    uses = uses.select(F.col("source").alias("__source"), F.col("block").alias("__block"), F.col("uses").alias("__uses"))
-    placed = counted.withColumn("block", block)
-    joined = placed.join(uses, placed["source"].eqNullSafe(uses["__source"]) & (placed["block"] == uses["__block"]))
-    return joined.select(*own.columns, "n_tokens", "block", F.explode("__uses").alias("__use")).select(*own.columns, "n_tokens", "block", "__use.epoch", "__use.mix_at")
+    uses = materialize(schedule(blocks, weights(sources.select("source", "n_tokens"), power, budget), seed), "uses")
+    uses = _sized(uses, F.lit(64) + 32 * F.size("uses")).select(F.col("source").alias("__from"), F.col("block").alias("__block"), F.col("uses").alias("__uses"))
+    placed = rows.select("*", fine).join(per, of_source).select("row", "source", "n_tokens", block)
+    joined = placed.join(uses, F.col("source").eqNullSafe(F.col("__from")) & (F.col("block") == F.col("__block")))
+    used = joined.select("row", "n_tokens", "block", F.explode("__uses").alias("use"))
+    added = dict(zip(NAMES, names, strict=True))
+    return used.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in own), F.col("n_tokens").alias(added["n_tokens"]), F.col("block").alias(added["block"]), F.col("use.epoch").alias(added["epoch"]), F.col("use.mix_at").alias(added["mix_at"]))
+
+
+def in_order(mixed: DataFrame, mix_at: str = "mix_at") -> DataFrame:
+    """Rows in the order of the mixture: partition by partition, and by mix_at within; one shuffle, dealt by the place itself."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.col(quoted(mix_at))
+    return mixed.repartitionById(n, F.floor(place * n).cast("int")).sortWithinPartitions(place)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

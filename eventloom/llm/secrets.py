@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, table
+from .common import fresh, hashed_sample, quoted, table
 
 #: Fixed patterns: kind, pattern, group whose length is judged, least length. As their runs are
 #: maximal, asking for the least length within `access` and `hex` drops exactly the shorter matches.
@@ -188,11 +188,10 @@ def learned_spans(text: Column, base: Column, ratios: list[float], least: float
     return F.filter(let(_matches(text, TOKEN, len(KINDS), judge=True), lambda found: apart(found, base)), random)
 
 
-def spans(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """docs with its base spans and all spans in columns __base and __spans, by start and then kind. A null text has none."""
+def spans(docs: DataFrame, ratios: list[float], base: str = "__base", all_: str = "__spans") -> DataFrame:
+    """docs with its base spans and all spans in two more columns, by start and then kind. A null text has none."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.drop("__base", "__spans", "__clean")
-    return docs.withColumn("__base", base_spans(text)).withColumn("__spans", F.array_sort(F.concat("__base", learned_spans(text, F.col("__base"), ratios))))
+    return docs.withColumn(base, base_spans(text)).withColumn(all_, F.array_sort(F.concat(base, learned_spans(text, F.col(base), ratios))))
 
 
 def _told(found: Column) -> Column:
@@ -221,14 +220,15 @@ def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
         parts = F.zip_with(spans, done, lambda s, d: F.when(s["from"] >= d, F.concat(piece(d, s["from"]), F.lit(MASK))).otherwise(""))
         return F.concat(F.array_join(parts, ""), piece(F.array_max(F.transform(spans, lambda s: s["to"])), F.octet_length(raw)))
 
-    joined = let(F.col("__spans"), masked)
-    changed = F.size("__spans") > 0
-    found = spans(docs, ratios).withColumn("__clean", F.when(changed, joined).otherwise(F.col("text")))
-    size = F.length("__clean").cast(dict(docs.dtypes).get("n_chars", "long"))
-    own = {"text": F.col("__clean").alias("text")}
+    base, all_, clean = (fresh(docs, x) for x in ("__base", "__spans", "__clean"))
+    joined = let(F.col(all_), masked)
+    changed = F.size(all_) > 0
+    found = spans(docs, ratios, base, all_).withColumn(clean, F.when(changed, joined).otherwise(F.col("text")))
+    size = F.length(clean).cast(dict(docs.dtypes).get("n_chars", "long"))
+    own = {"text": F.col(clean).alias("text")}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(changed, size).otherwise(F.col("n_chars")).alias("n_chars")
-    return found.select(*(own.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    return found.select(*(own.get(c, F.col(quoted(c))) for c in docs.columns))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, table, texts_of
+from .common import bound_batches, columns, fresh, materialize, table, texts_of
 from .components import connected
 
 #: Words of a shingle, hash seed, and the most bits that linked fingerprints differ in.
@@ -296,7 +296,8 @@ def keep_one_of_each(docs: DataFrame, mark: Callable[[DataFrame], DataFrame] = n
     row = F.xxhash64("doc_id", "text")
     named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row.alias("row"))  # an id of its own for each text of a doc_id
     marked = mark(docs.select(named.alias("doc_id"), "text"))
-    leaders = marked.where("doc_id = component_id").select(F.col("component_id.row").alias("__row")).distinct()
+    own, copy = fresh(docs, "__row"), fresh(docs, "__copy")
+    leaders = marked.where("doc_id = component_id").select(F.col("component_id.row").alias(own)).distinct()
     # join and window deal rows by the same key, so texts are shuffled once
-    kept = docs.withColumn("__row", row).join(leaders, "__row", "left_semi")
-    return kept.withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).where("__copy = 1").select(*docs.columns)
+    kept = docs.withColumn(own, row).join(leaders, own, "left_semi")
+    return kept.withColumn(copy, F.row_number().over(Window.partitionBy(own).orderBy(own))).where(F.col(copy) == 1).select(*columns(docs))

@@ -1,9 +1,21 @@
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from math import log
 
+import regex
+
 from eventloom.llm import mixing
 
+ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+TOKEN = regex.compile(rf"[{ALONE}]|(?:(?![{ALONE}])[\p{{L}}\p{{M}}])+|\p{{N}}|[^\x20\x09-\x0D\p{{L}}\p{{M}}\p{{N}}]+")
+
+
+def test_tokens(spark, texts):
+    more = ["日本語のテキスト 12 a-b c.d!? é́x", "ไทย abc", "", "a\u00a0b\x85", "한국어 text"]
+    rows = [(i, t) for i, t in enumerate([*texts.values(), *more])]
+    got = spark.createDataFrame(rows, "i long, text string").select("i", mixing.tokens(mixing.F.col("text")).alias("n")).collect()
+    assert all(r["n"] == len(TOKEN.findall(rows[r["i"]][1])) + 1 for r in got)
+
 
 def weights(tokens, power):
     total = sum(tokens.values())
@@ -35,7 +47,7 @@ def test_exponent_meets_its_targets(spark):
 def test_every_document_and_the_weights(spark, documents):
     rows = documents.selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN 'hot' WHEN doc_id % 20 = 1 THEN NULL ELSE 'rest' END AS source")
     got = mixing.mix(rows, entropy=0.95, repeats=2.0).collect()
-    count = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for r in rows.collect()}
+    count = {r["doc_id"]: len(TOKEN.findall(r["text"])) + 1 for r in rows.collect()}
     uses = Counter(r["doc_id"] for r in got)
     assert set(uses) == set(count) and max(uses.values()) <= 3
     assert all(r["n_tokens"] == count[r["doc_id"]] and 0 <= r["mix_at"] < 1 for r in got)
@@ -54,12 +66,59 @@ def test_every_document_and_the_weights(spark, documents):
     assert all(len(x) == 1 for at in blocks.values() for x in at.values())
 
 
+def test_blocks_hold_about_as_many_tokens(spark, monkeypatch):
+    """Each source is cut by its own tokens, however many sources there are."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 5000)
+    docs = spark.range(20_000).selectExpr("id doc_id", "repeat('w ', 99) text", "IF(id % 2 = 0, 'big', concat('s', id % 200)) source")
+    rows = mixing.mix(docs).where("epoch = 0").groupBy("source", "block").sum("n_tokens").collect()
+    size = defaultdict(list)
+    for r in rows:
+        size[r[0]].append(r[2])
+    assert len(size) == 101 and len(size["big"]) == 200 and all(len(x) == 2 for s, x in size.items() if s != "big")
+    assert 2000 < min(map(min, size.values())) and max(map(max, size.values())) < 9000
+
+
+def test_schedule_against_a_walk(spark):
+    """Whole passes, each in an order of its own, then blocks of one more as long as they fit to half a block."""
+    blocks = [("a", b, 10 + b) for b in range(7)] + [(None, 0, 40), ("c", 0, 5), ("c", 1, 6)]
+    weighted = [("a", sum(10 + b for b in range(7)), 0.5, 2.4), (None, 40, 0.3, 1.0), ("c", 11, 0.2, 0.6)]
+    got = mixing.schedule(spark.createDataFrame(blocks, "source string, block int, n_tokens long"), spark.createDataFrame(weighted, "source string, n_tokens long, weight double, epochs double")).collect()
+    hashed = {(e, b): x for e, b, x in spark.range(3).crossJoin(spark.range(7).toDF("b")).selectExpr("CAST(id AS INT) e", "CAST(b AS INT) b").selectExpr("e", "b", f"xxhash64({mixing.SEED}, e, b)").collect()}
+    want = {}
+    for source, all_, _, epochs in weighted:
+        own = [(b, n) for s, b, n in blocks if s == source]
+        for epoch in range(int(epochs) + 1):
+            before = 0
+            for b, n in sorted(own, key=lambda x: (hashed[epoch, x[0]], x[0])):
+                if epoch < int(epochs) or before + n / 2 <= (epochs - int(epochs)) * all_:
+                    want.setdefault((source, b), []).append((epoch, (epoch * all_ + before) / epochs / all_))
+                before += n
+    told = {(r["source"], r["block"]): [(e, round(x, 9)) for e, x in r["uses"]] for r in got}
+    assert told == {k: [(e, round(x, 9)) for e, x in sorted(v)] for k, v in want.items()}
+
+
 def test_budget_takes_blocks(spark):
-    docs = spark.createDataFrame([(i, "w " * 99, f"s{i % 2}") for i in range(2000)], "doc_id long, text string, source string")
-    got = mixing.mix(docs, entropy=0.0, budget=50_000.0).groupBy("source").sum("n_tokens").collect()
+    docs = spark.createDataFrame([(i, "w " * 99, f"s{i % 2}") for i in range(8000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, entropy=0.0, budget=400_000.0).groupBy("source").sum("n_tokens").collect()
     assert len(got) == 2
-    # three blocks a source: the budget is met to half a block
-    assert all(abs(r[1] - 25_000) < 20_000 for r in got)
+    # six blocks a source: the budget is met to half a block
+    assert all(abs(r[1] - 200_000) < 60_000 for r in got)
+
+
+def test_rows_in_the_order_of_the_mixture(spark, documents, tmp_path):
+    mixed = mixing.mix(documents)
+    mixing.in_order(mixed).write.parquet(str(tmp_path / "out"))
+    at = []
+    for f in sorted((tmp_path / "out").glob("*.parquet")):
+        at += [r["mix_at"] for r in spark.read.parquet(str(f)).select("mix_at").collect()]
+    assert at == sorted(at) and len(at) == mixed.count()
+
+
+def test_own_columns_are_carried_as_they_are(odd, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST", 0)  # and tables too large to broadcast
+    got = mixing.mix(odd, names=("b_", "e_", "m_", "n_"))
+    assert got.columns == [*odd.columns, "n_", "b_", "e_", "m_"]
+    assert all(r[c] == 777 for r in got.collect() for c in ("block", "epoch", "mix_at", "n_tokens", "__source", "__uses", "a.b"))
 
 
 def test_odd_rows(odd, empty):

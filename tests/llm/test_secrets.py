@@ -107,7 +107,8 @@ def test_learned_spans_touch_no_base_span(spark, ratios):
 
 def test_odd_rows(odd, empty, ratios):
     assert secrets.scan(odd, ratios).count() == odd.count()
-    assert secrets.redact(odd, ratios).columns == odd.columns
+    clean = secrets.redact(odd, ratios)
+    assert clean.columns == odd.columns and all(r[c] == 777 for r in clean.collect() for c in ("__base", "__spans", "__clean", "a.b"))
     assert secrets.scan(empty, secrets.train(secrets.samples(empty))).collect() == []
 
 

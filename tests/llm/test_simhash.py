@@ -125,7 +125,7 @@ def test_odd_rows(odd, empty):
     assert {(i, c) for i, f, c in got if f == "0" * 16} == {(1, 1), (2, 1), (3, 1)}
     assert [c for i, _, c in got if i is None] == [None]
     kept = simhash.keep_one_of_each(odd)
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and all(r[c] == 777 for r in kept.collect() for c in ("__row", "__copy", "fp", "a.b"))
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 7]
     assert simhash.near_duplicates(empty).collect() == []
     assert simhash.keep_one_of_each(empty).collect() == []

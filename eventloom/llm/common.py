@@ -29,11 +29,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode, else an error."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventloom-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="eventloom-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
 
@@ -41,13 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors; they are deleted when the driver ends.
+    The files outlive lost executors; they are deleted when the driver ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` has written and that nothing reads any more; other tables are left alone."""
+    path = getattr(df, "_written_at", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected(edges: DataFrame) -> DataFrame:
         # small star: u links all its smaller neighbours, and itself, to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialize(small.where("u <> v").distinct(), "edges")
+        before, now = now, materialize(small.where("u <> v").distinct(), "edges")
+        discard(before)
         was, sign = sign, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if sign == was:
             break

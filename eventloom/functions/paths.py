@@ -7,10 +7,10 @@ that plans over tables with a fixed schema name only real columns and push down
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-from itertools import product
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,10 @@ class Typed:
     def kinds(self) -> dict[str, Column]:
         return {f.name: v for f in fields(self) if f.name in KINDS and (v := getattr(self, f.name)) is not None}
 
+    def only(self, kinds: Iterable[str]) -> Typed:
+        """The same, with columns of the given kinds alone."""
+        return replace(self, **{k: None for k in KINDS if k not in kinds})
+
     def number(self) -> Column | None:
         """The value as a double, of a kind that can be calculated with."""
         found = [c.cast("double") for k, c in self.kinds().items() if k in ("int", "double", "time")]
@@ -49,33 +53,64 @@ def _quoted(segments: list[str]) -> str:
     return "$" + "".join("['" + s.replace("\\", "\\\\").replace("'", "\\'") + "']" for s in segments)
 
 
-def spellings(path: str, separator: str = SEPARATOR) -> list[str]:
-    """JSON paths that a dotted path stands for: nested first, then with keys that hold the separator themselves."""
+#: Paths of up to so many parts are looked up spelling by spelling; the others part by part, with the same result.
+SPELLED = 4
+
+
+def spellings(parts: list[str], separator: str = SEPARATOR) -> list[list[str]]:
+    """Keys that the parts of a dotted path stand for: nested ones first, then such as hold the separator themselves."""
+    if not parts:
+        return [[]]
+    return [[*keys, separator.join(parts[j:])] for j in range(len(parts) - 1, -1, -1) for keys in spellings(parts[:j], separator)]
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_scalar(tag: Column) -> Column:
+    """tag: what schema_of_variant says. Objects and arrays are none."""
+    return ~tag.rlike("^(OBJECT|ARRAY)")
+
+
+def _stepwise(doc: Column, parts: list[str], separator: str) -> Column:
+    """The first scalar below any spelling: of each number of leading parts, the values that they reach, and from these on."""
+    get = lambda reached, j, i: F.transform(reached, lambda v: F.try_variant_get(v, _quoted([separator.join(parts[j:i])]), "variant"))
+
+    def onward(reached: list[Column]) -> Column:
+        i = len(reached)
+        now = F.filter(F.concat(*(get(reached[j], j, i) for j in range(i - 1, -1, -1))), lambda v: v.isNotNull())
+        if i < len(parts):
+            return let(now, lambda found: onward([*reached, found]))
+        return F.get(F.filter(now, lambda v: is_scalar(F.schema_of_variant(v))), F.lit(0))
+
+    return let(F.array(doc), lambda found: onward([found]))
+
+
+def candidates(doc: Column, path: str, separator: str = SEPARATOR) -> list[Column]:
+    """VARIANTs of which the first scalar is the path's value in a VARIANT column."""
     parts = path.split(separator)
-    found = []
-    for joined in product([False, True], repeat=len(parts) - 1):
-        keys = [parts[0]]
-        for part, glue in zip(parts[1:], joined, strict=True):
-            if glue:
-                keys[-1] += separator + part
-            else:
-                keys.append(part)
-        found.append(_quoted(keys))
-    return sorted(found, key=lambda s: -s.count("']")) if len(parts) <= 4 else [_quoted(parts), _quoted([path])]
+    if len(parts) > SPELLED:
+        return [_stepwise(doc, parts, separator)]
+    return [F.try_variant_get(doc, _quoted(keys), "variant") for keys in spellings(parts, separator)]
+
+
+def first_scalar(values: list[Column], tags: list[Column]) -> tuple[Column, Column]:
+    """The first value that is a scalar, and its tag."""
+    picked = [(F.when(is_scalar(t), v), F.when(is_scalar(t), t)) for v, t in zip(values, tags, strict=True)]
+    return picked[0] if len(picked) == 1 else tuple(F.coalesce(*x) for x in zip(*picked, strict=True))
 
 
 def in_variant(doc: Column, path: str, separator: str = SEPARATOR) -> Typed:
     """A path in a VARIANT column. Objects and arrays count as missing; numbers that are whole are ints."""
-    found = []
-    for at in spellings(path, separator):
-        v = F.try_variant_get(doc, at, "variant")
-        found.append(F.when(~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), v))
-    return scalar(found[0] if len(found) == 1 else F.coalesce(*found))
+    found = candidates(doc, path, separator)
+    return scalar(*first_scalar(found, [F.schema_of_variant(v) for v in found]))
 
 
-def scalar(v: Column) -> Typed:
-    """A VARIANT column of scalars, or SQL null where there is none."""
-    tag = F.schema_of_variant(v)
+def scalar(v: Column, tag: Column | None = None) -> Typed:
+    """A VARIANT column of scalars, or SQL null where there is none. tag: what schema_of_variant says of it."""
+    tag = F.schema_of_variant(v) if tag is None else tag
     number = F.when(tag.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
     whole = (number == F.floor(number)) & (F.abs(number) < float(2**63))
     return Typed(
@@ -88,6 +123,42 @@ def scalar(v: Column) -> Typed:
     )
 
 
+def once(rows: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """rows with columns that are computed once a row, however often they are used, and references to them.
+
+    They come out of a generator of one row, which the optimizer neither merges with what is above nor
+    pushes a condition on its output through; conditions on other columns still reach the scan.
+    """
+    taken = {c.lower() for c in rows.columns}
+    names = [n for n in (f"__once_{i}" for i in range(len(taken) + len(columns))) if n not in taken][: len(columns)]
+    made = F.inline(F.array(F.struct(*(c.alias(n) for c, n in zip(columns, names, strict=True)))))
+    return rows.select("*", made), [F.col(n) for n in names]
+
+
+def discover(docs: DataFrame, doc: str = "doc", max_depth: int = 8, separator: str = SEPARATOR) -> DataFrame:
+    """path, kind and n of all scalars in a column of VARIANT objects: how many rows hold each kind at each path.
+
+    Keys are joined by the separator. Arrays, and what is nested deeper than ``max_depth``, are left out.
+    A null document has no paths. One pass over the rows.
+    """
+    kind = F.when(F.col("tag") == "BIGINT", "int").when(F.col("tag") == "STRING", "string").when(F.col("tag") == "BOOLEAN", "bool").when(F.col("tag") == "VOID", "null")
+    fields = lambda v: F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    level = docs.select(F.explode(fields(F.col(doc))).alias("e")).select(F.col("e.key").alias("path"), F.col("e.value").alias("v"))
+    level = level.withColumn("tag", F.schema_of_variant("v"))
+    for _ in range(max_depth - 1):
+        inner = F.transform(fields(F.col("v")), lambda e: F.struct(F.concat_ws(separator, "path", e["key"]).alias("path"), e["value"].alias("v")))
+        own = F.array(F.struct("path", "v"))
+        level = level.select(F.explode(F.when(F.col("tag").startswith("OBJECT"), inner).otherwise(own)).alias("e")).select("e.path", "e.v").withColumn("tag", F.schema_of_variant("v"))
+    number = F.try_variant_get("v", "$", "double")
+    kind = kind.when(F.col("tag").rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when((number == F.floor(number)) & (F.abs(number) < float(2**63)), "int").otherwise("double"))
+    return level.where(is_scalar(F.col("tag"))).groupBy("path", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def as_json(v: Column) -> Column:
+    """JSON text of a VARIANT column; null for SQL null."""
+    return F.to_json(v)
+
+
 def of_column(c: Column, kind: T.DataType, nulls: str = "missing") -> Typed:
     """A column of fixed type. nulls says whether SQL null is a missing value or an explicit null; types that hold no scalar are missing."""
     exists, null = (c.isNotNull(), F.lit(False)) if nulls == "missing" else (F.lit(True), c.isNull())

@@ -36,17 +36,13 @@ def unit(text: str) -> int:
     return n
 
 
-def floor_div(a: int, b: int) -> int:
-    return a // b
-
-
 def rfc3339_nanos(text: Column) -> Column:
-    """Nanoseconds since the epoch of an RFC 3339 time; null if it is none."""
+    """Nanoseconds since the epoch of an RFC 3339 time; null if it is none, or beyond what 64 bits hold (years 1677 to 2262)."""
     form = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.(\d{1,9})\d*)?(Z|[+-]\d{2}:\d{2})$"
     whole = F.concat(F.regexp_extract(text, form, 1), F.regexp_extract(text, form, 3))
     seconds = F.unix_seconds(F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
     fraction = F.rpad(F.regexp_extract(text, form, 2), 9, "0").cast("long")
-    return F.when(text.rlike(form), seconds * NANOS["s"] + F.coalesce(fraction, F.lit(0)))
+    return F.when(text.rlike(form), F.try_add(F.try_multiply(seconds, F.lit(NANOS["s"])), F.coalesce(fraction, F.lit(0))))
 
 
 def micros_of(nanos: int) -> int:

@@ -34,6 +34,9 @@ def calculate(field: Typed | None, op: str, of_strings: bool = False) -> Column:
     if op == "COUNT":
         return F.count(F.lit(1)).cast("double")
     number = field.number()
+    if op in ("SUM", "AVG") and [k for k in field.kinds() if k in _KINDS[op]] == ["time"]:  # nanoseconds are too large to be added as doubles
+        total = F.sum(field.time.cast("decimal(20,0)")).cast("double")
+        return F.coalesce(total, F.lit(0.0)) if op == "SUM" else total / F.count(field.time)
     if op == "SUM":
         return F.coalesce(F.sum(number), F.lit(0.0)) if number is not None else F.max(F.lit(0.0))
     if op == "AVG":

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.database import Database
+from eventloom.functions.paths import discover
 from eventloom.plans import spec
 from eventloom.plans.queries import answer
 from eventloom.sources.bindings import Binding, Table
+from eventloom.sources.scratch import shared_dir
 
 #: All of the tables' times lie in this range.
 ALL = {"start_time": 0, "end_time": 4102444800}
@@ -29,7 +33,8 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> Binding:
         df = df.withColumn("s", F.expr(STATES))
     if name == "flags":
         df = df.withColumn("large", F.col("value") > 50)
-    return Table(df, time=_TIMES.get(table), json=("s",) if name == "states" else ("props",) if name == "events" else ())
+    declared = {"props.k": ("int",)} if name == "events" else {}
+    return Table(df, time=_TIMES.get(table), json=("s",) if name == "states" else ("props",) if name == "events" else (), declared=declared)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +83,17 @@ _add("raw_unfiltered_ordered", {"namespace": "events", "order_by": _order("ts",
 _add("raw_multi_order", {"namespace": "events", "order_by": _order("event_type", "-value", "event_id"), "limit": 50}, _EVENT, f"SELECT {_E} FROM events ORDER BY event_type, value DESC, event_id LIMIT 50")
 _add("raw_desc", {"namespace": "orders", "order_by": _order("-o_totalprice", "o_orderkey"), "limit": 20}, _same("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 _add("raw_default_limit", {"namespace": "orders", "order_by": _order("@timestamp", "o_orderkey")}, _same("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
-_add("raw_order_presence", {"namespace": "states", "order_by": _order("s.k", "event_id"), "filters": [_where(("s.k", "=", "s"))], "limit": 50}, _same("event_id"), "SELECT event_id FROM events WHERE event_id % 6 = 2 ORDER BY event_id LIMIT 50")
+_add("raw_order_presence", {"namespace": "states", "order_by": _order("event_id", "s.k"), "limit": 50}, _same("event_id"), "SELECT event_id FROM events WHERE event_id % 6 <> 0 ORDER BY event_id LIMIT 50")
+
+
+def _unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any 37 of the rows that pass: how many come, and how many of them pass."""
+    q = spec.parse({"namespace": "events", **ALL, "filters": [_where(("event_type", "=", "click"))], "limit": 37})
+    return answer(q, bound(spark, sf_dir, "events")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("passing"))
+
+
+QUERIES["raw_unordered_limit"] = _unordered
+ORACLES["raw_unordered_limit"] = "SELECT count(*) AS n, count(*) AS passing FROM (SELECT 1 FROM events WHERE event_type = 'click' LIMIT 37)"
 
 _T = "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-07 00:00:00'"
 _add("time_start_end", {"namespace": "events", "start_time": 1704412800, "end_time": 1704585600, "limit": EVERY}, _EVENT, f"SELECT {_E} FROM events WHERE {_T}")
@@ -101,17 +116,16 @@ for _op, _short in _NAMES.items():
     _add(f"filter_{_short}_double_int_literal", {"namespace": "lineitem", "filters": [_where(("l_quantity", _op, 25))], "limit": EVERY}, _same("l_orderkey", "l_linenumber"), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_double}")
 for _op in ("=", "!="):
     _filter(f"filter_{_NAMES[_op]}_bool", "flags", "event_id", [_where(("large", _op, True))], f"(value > 50) {_SQL[_op]} true", "events")
-for _op, _short, _sql in (
-    ("startsWith", "starts", "starts_with(p_type, 'STANDARD')"),
-    ("notStartsWith", "not_starts", "NOT starts_with(p_type, 'STANDARD')"),
-    ("endsWith", "ends", "ends_with(p_type, 'STANDARD')"),
-    ("notEndsWith", "not_ends", "NOT ends_with(p_type, 'STANDARD')"),
-    ("contains", "contains", "contains(p_type, 'STANDARD')"),
-    ("notContains", "not_contains", "NOT contains(p_type, 'STANDARD')"),
+for _op, _short, _sql, _type, _name in (
+    ("startsWith", "starts", "starts_with({}, '{}')", "ST", "small"),
+    ("notStartsWith", "not_starts", "NOT starts_with({}, '{}')", "ST", "small"),
+    ("endsWith", "ends", "ends_with({}, '{}')", "UM", "gear"),
+    ("notEndsWith", "not_ends", "NOT ends_with({}, '{}')", "UM", "gear"),
+    ("contains", "contains", "contains({}, '{}')", "AN", "e w"),
+    ("notContains", "not_contains", "NOT contains({}, '{}')", "AN", "e w"),
 ):
-    for _kind, _lit in (("type", "AN"), ("name", "1")):
-        _field = f"p_{_kind}"
-        _filter(f"filter_{_short}" + ("" if _kind == "type" else "_name"), "part", "p_partkey", [_where((_field, _op, _lit))], _sql.replace("p_type", _field).replace("STANDARD", _lit))
+    for _field, _lit, _suffix in (("p_type", _type, ""), ("p_name", _name, "_name")):
+        _filter(f"filter_{_short}{_suffix}", "part", "p_partkey", [_where((_field, _op, _lit))], _sql.format(_field, _lit))
 for _op, _short, _sql in (
     ("exists", "exists", "event_id % 6 <> 0"),
     ("notExists", "not_exists", "event_id % 6 = 0"),
@@ -156,6 +170,8 @@ _group("group_min_string", "part", {"brand": "p_brand"}, {"least": ("MIN", "p_na
 _group("group_max_string", "part", {"brand": "p_brand"}, {"most": ("MAX", "p_name")}, "SELECT p_brand AS brand, max(p_name) AS most FROM part GROUP BY 1")
 _group("group_min_time", "events", {"event_type": "event_type"}, {"least": ("MIN", "@timestamp")}, "SELECT event_type, CAST(epoch_ns(min(ts)) AS DOUBLE) AS least FROM events GROUP BY 1")
 _group("group_max_time", "events", {"event_type": "event_type"}, {"most": ("MAX", "ts")}, "SELECT event_type, CAST(epoch_ns(max(ts)) AS DOUBLE) AS most FROM events GROUP BY 1")
+_group("group_sum_time", "events", {"event_type": "event_type"}, {"total": ("SUM", "@timestamp")}, "SELECT event_type, CAST(sum(epoch_ns(ts)) AS DOUBLE) AS total FROM events GROUP BY 1")
+_group("group_avg_time", "orders", {"status": "o_orderstatus"}, {"mean": ("AVG", "o_orderdate")}, "SELECT o_orderstatus AS status, CAST(sum(epoch_ns(o_orderdate)) AS DOUBLE) / count(*) AS mean FROM orders GROUP BY 1")
 _group("group_several", "orders", {"priority": "o_orderpriority"}, {"n": ("COUNT", None), "least": ("MIN", "o_orderkey"), "most": ("MAX", "o_orderstatus")}, "SELECT o_orderpriority AS priority, CAST(count(*) AS DOUBLE) AS n, CAST(min(o_orderkey) AS DOUBLE) AS least, max(o_orderstatus) AS most FROM orders GROUP BY 1")
 _group("group_filtered", "events", {"user": "user_id"}, {"n": ("COUNT", None)}, "SELECT user_id AS user, CAST(count(*) AS DOUBLE) AS n FROM events WHERE event_type <> 'view' AND value >= 20 GROUP BY 1", filters=[_where(("event_type", "!=", "view"), ("value", ">=", 20))])
 _group("group_order_by_calc_desc", "orders", {"customer": "o_custkey"}, {"n": ("COUNT", None)}, "SELECT o_custkey AS customer, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1 ORDER BY n DESC, customer LIMIT 25", 25, order_by=[{"op": "COUNT", "order": "descending"}, {"field": "o_custkey"}])
@@ -187,9 +203,69 @@ _bucket("bucket_hour", _JAN | {"time_granularity": "1h"}, 1704067200, 1706745600
 _bucket("bucket_filtered", _JAN | {"time_granularity": "6h", "filters": [_where(("event_type", "=", "purchase"), ("value", ">", 60))]}, 1704067200, 1706745600, 21600, f"{_IN} AND event_type = 'purchase' AND value > 60")
 _bucket("bucket_zero_fill", {"start_time": 1704067200, "end_time": 1709251200, "time_granularity": "24h"}, 1704067200, 1709251200, 86400, "ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-03-01 00:00:00'")
 _bucket("bucket_unaligned_start", {"start_time": 1704070000, "end_time": 1704420001, "time_granularity": "35m"}, 1704070000 // 2100 * 2100, -(-1704420001 // 2100) * 2100, 2100, "epoch_ns(ts) >= 1704070000000000000 AND epoch_ns(ts) < 1704420001000000000")
-_bucket("bucket_orders", {"start_time": 694224000, "end_time": 725846400, "time_granularity": "720h"}, 694224000 // 2592000 * 2592000, -(-725846400 // 2592000) * 2592000, 2592000, "o_orderdate >= TIMESTAMP '1992-01-01' AND o_orderdate < TIMESTAMP '1993-01-01'", "orders", "o_orderdate")
+_bucket("bucket_orders", {"start_time": 788918400, "end_time": 820454400, "time_granularity": "720h"}, 788918400 // 2592000 * 2592000, -(-820454400 // 2592000) * 2592000, 2592000, "o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'", "orders", "o_orderdate")
 _bucket("bucket_empty", _JAN | {"time_granularity": "24h", "filters": [_where(("event_type", "=", "none"))]}, 1704067200, 1706745600, 86400, "false")
 
+# a store of documents
+
+_STORES: dict[tuple[str, str], Database] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Database:
+    """The events as JSON documents in a store, written once a session: half of them before user.id is promoted, and the rest after."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        fields = [F.lit("events").alias("service"), at.alias("@timestamp"), F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id")).alias("user"), F.col("event_type").alias("kind"), "value", F.parse_json("props").alias("props"), F.struct(F.struct(F.lit(1).alias("y")).alias("x")).alias("deep"), F.col("event_id").alias("id_noindex")]
+        lines = events.select("event_id", F.to_json(F.struct(*fields)).alias("value"))
+        root = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+        Database(spark, root, promote=["kind"]).write_batch(lines.where("event_id % 2 = 0").select("value"))
+        made = Database(spark, root, promote=["kind", "user.id"], max_depth=2, excluded="_noindex")
+        made.write_batch(lines.where("event_id % 2 = 1").select("value"))
+        _STORES[key] = made
+    return _STORES[key]
+
+
+def _stored(name: str, query: dict, columns: dict[str, str], oracle: str) -> None:
+    """A query of the store. A raw one returns event_id, read from its documents."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        q = spec.parse({"namespace": "events"} | (ALL if "start_time" not in query else {}) | query)
+        db = stored(spark, sf_dir)
+        got = answer(replace(q, limit=None) if "limit" not in query and q.kind != "buckets" else q, db.binding("events"))
+        if q.kind == "raw":
+            return got.select(F.get_json_object("_source", "$.id").cast("long").alias("event_id"))
+        return got.select(*(F.col(a).alias(b) for a, b in columns.items()))
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+_stored("store_raw_ordered", {"order_by": _order("-@timestamp", "id"), "limit": 30}, {}, "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 30")
+_stored("store_filter_promoted", {"filters": [_where(("kind", "startsWith", "p"))]}, {}, "SELECT event_id FROM events WHERE starts_with(event_type, 'p')")
+_stored("store_filter_promoted_late", {"filters": [_where(("user.id", "<=", 20), ("value", ">", 30.5))]}, {}, "SELECT event_id FROM events WHERE user_id <= 20 AND value > 30.5")
+_stored("store_filter_nested", {"filters": [_where(("props.k", "=", 42), ("props.k", ">", 90), combinator="OR")]}, {}, "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) = 42 OR CAST(props->>'$.k' AS BIGINT) > 90")
+_stored("store_depth_and_suffix", {"filters": [_where(("deep.x.y", "notExists"), ("id_noindex", "notExists"), ("id", "<", 50))]}, {}, "SELECT event_id FROM events WHERE event_id < 50")
+_stored("store_time", {"start_time": 1704412800, "time_range": "36h"}, {}, "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 12:00:00'")
+_stored("store_group", {"group_by": ["kind", "user.id"], "calculations": [{"op": "COUNT"}, {"op": "MAX", "field": "value"}, {"op": "MIN", "field": "@timestamp"}]}, {"key_0": "kind", "key_1": "user", "value_0": "n", "value_1": "most", "value_2": "first"}, "SELECT event_type AS kind, user_id AS user, CAST(count(*) AS DOUBLE) AS n, max(value) AS most, CAST(epoch_ns(min(ts)) AS DOUBLE) AS first FROM events GROUP BY 1, 2")
+_stored("store_group_top", {"group_by": ["user.id"], "calculations": [{"op": "COUNT"}], "order_by": [{"op": "COUNT", "order": "descending"}, {"field": "user.id"}], "limit": 7}, {"key_0": "user", "value_0": "n"}, "SELECT user_id AS user, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1 ORDER BY n DESC, user LIMIT 7")
+_stored("store_buckets", _JAN | {"time_granularity": "12h", "filters": [_where(("kind", "!=", "view"))]}, {"start_at_nanos": "start_at_nanos", "value": "value"}, f"""
+    WITH counts AS (SELECT (epoch_ns(ts) - 1704067200000000000) // 43200000000000 AS b, count(*) AS n FROM events WHERE {_IN} AND event_type <> 'view' GROUP BY b)
+    SELECT CAST((1704067200 + i * 43200) * 1000000000 AS BIGINT) AS start_at_nanos, CAST(coalesce(n, 0) AS BIGINT) AS value FROM generate_series(0, 61) AS g(i) LEFT JOIN counts ON b = i""")
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths and kinds that the documents of the store have."""
+    return discover(stored(spark, sf_dir).binding("events").df)
+
+
+QUERIES["store_paths"] = _paths
+ORACLES["store_paths"] = """
+    SELECT path, kind, count(*) AS n FROM (
+        SELECT unnest([{'path': 'service', 'kind': 'string'}, {'path': '@timestamp', 'kind': 'string'}, {'path': 'id', 'kind': 'int'}, {'path': 'user.id', 'kind': 'int'}, {'path': 'kind', 'kind': 'string'},
+                       {'path': 'value', 'kind': CASE WHEN value = floor(value) THEN 'int' ELSE 'double' END}, {'path': 'props.k', 'kind': 'int'}, {'path': 'deep.x.y', 'kind': 'int'}, {'path': 'id_noindex', 'kind': 'int'}], recursive := true)
+        FROM events) GROUP BY 1, 2"""
+
 _group(
     "flagship",
     "events",

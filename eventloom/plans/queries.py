@@ -27,8 +27,9 @@ def answer(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
 def filtered(query: Query, bound: Binding) -> DataFrame:
     """Rows in the time range that pass all filter lists."""
     rows = bound.df.where(bound.in_time(start_of(query, bound), query.end))
+    rows, fields = bound.resolve(rows, [f.field for fl in query.filters for f in fl.filters])
     for fl in query.filters:
-        rows = rows.where(combined([matches(bound.typed(f.field), f.op, f.value) for f in fl.filters], fl.combinator))
+        rows = rows.where(combined([matches(fields[f.field], f.op, f.value) for f in fl.filters], fl.combinator))
     return rows
 
 
@@ -36,9 +37,8 @@ def start_of(query: Query, bound: Binding) -> int:
     return query.start if bound.retention is None else max(query.start, time.time_ns() - bound.retention)
 
 
-def kinds_of(rows: DataFrame, bound: Binding, names: list[str], strict: bool = False) -> dict[str, set[str]]:
-    """The kinds of values that occur at paths. Over fixed schemas they are known; else one aggregate over rows finds them."""
-    fields = {n: bound.typed(n) for n in dict.fromkeys(names)}
+def kinds_of(rows: DataFrame, fields: dict[str, Typed], strict: bool = False) -> dict[str, set[str]]:
+    """The kinds of values that occur at paths. Over fixed schemas and declared kinds they are known; else one aggregate over rows finds them."""
     found = {n: set(f.kinds()) for n, f in fields.items()}
     open_ = {n: f for n, f in fields.items() if len(found[n]) > 1}
     if open_:
@@ -70,12 +70,11 @@ def first(rows: DataFrame, limit: int | None) -> DataFrame:
 
 def raw(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
     """Source columns of the first rows in order; rows that lack a field that is ordered by are left out."""
-    rows = filtered(query, bound)
-    fields = [bound.typed(o.field) for o in query.order_by]
-    for f in fields:
+    rows, fields = bound.resolve(filtered(query, bound), [o.field for o in query.order_by])
+    for f in fields.values():
         rows = rows.where(f.exists)
-    kinds = kinds_of(rows, bound, [o.field for o in query.order_by], strict)
-    keys = [value_of(f, kinds[o.field]) for o, f in zip(query.order_by, fields, strict=True)]
+    kinds = kinds_of(rows, fields, strict)
+    keys = [value_of(fields[o.field], kinds[o.field]) for o in query.order_by]
     if keys:
         rows = rows.orderBy(*(k.desc() if o.descending else k.asc() for o, k in zip(query.order_by, keys, strict=True)))
     return first(rows, query.limit).select(*(f"`{c}`" for c in bound.source()))
@@ -87,18 +86,17 @@ def grouped(query: Query, bound: Binding, strict: bool = False) -> DataFrame:
     A row counts if it has all keys and, where some calculation has a field, one of those fields at
     least. Groups are complete, whatever the limit.
     """
-    rows = filtered(query, bound)
-    keys = [bound.typed(g) for g in query.group_by]
-    for f in keys:
-        rows = rows.where(f.exists)
     with_field = [c for c in query.calculations if c.field is not None]
+    rows, fields = bound.resolve(filtered(query, bound), [*query.group_by, *(c.field for c in with_field)])
+    for g in dict.fromkeys(query.group_by):
+        rows = rows.where(fields[g].exists)
     if with_field:
-        rows = rows.where(combined([calculations.usable(bound.typed(c.field), c.op) for c in with_field], "OR"))
-    kinds = kinds_of(rows, bound, [*query.group_by, *(c.field for c in with_field)], strict)
-    by = [value_of(f, kinds[g]).alias(f"key_{i}") for i, (g, f) in enumerate(zip(query.group_by, keys, strict=True))]
+        rows = rows.where(combined([calculations.usable(fields[c.field], c.op) for c in with_field], "OR"))
+    kinds = kinds_of(rows, fields, strict)
+    by = [value_of(fields[g], kinds[g]).alias(f"key_{i}") for i, g in enumerate(query.group_by)]
     values = []
     for i, c in enumerate(query.calculations):
-        field = None if c.field is None else bound.typed(c.field)
+        field = None if c.field is None else fields[c.field]
         text = c.field is not None and kinds[c.field] & {"int", "double", "time", "string"} == {"string"}
         values.append(calculations.calculate(field, c.op, text).alias(f"value_{i}"))
     names = [f"key_{i}" for i in range(len(by))]

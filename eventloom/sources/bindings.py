@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -19,21 +20,45 @@ TIMESTAMP = "@timestamp"
 
 @dataclass
 class Binding:
-    """Common to both kinds of bindings. retention: nanoseconds that a query may look back, or None."""
+    """Common to both kinds of bindings.
+
+    retention: nanoseconds that a query may look back, or None. declared: path -> the kinds of values
+    that occur there; other values of such a path are taken as values of no kind, and no look at the
+    rows is needed to find out what it holds.
+    """
 
     df: DataFrame
     retention: int | None = None
     separator: str = paths.SEPARATOR
-    _known: dict[str, Typed] = field(default_factory=dict, repr=False)
-
-    def typed(self, path: str) -> Typed:
-        if path not in self._known:
-            self._known[path] = self._resolve(path)
-        return self._known[path]
-
-    def _resolve(self, path: str) -> Typed:
+    declared: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def resolve(self, rows: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, Typed]]:
+        """rows of this binding with what the paths need, and the paths as typed columns of these rows.
+
+        A JSON text is parsed once a row, and a path looked up once.
+        """
+        found = {n: self._resolve(n) for n in dict.fromkeys(names)}
+        open_ = {n: x for n, x in found.items() if not isinstance(x, Typed)}
+        if open_:
+            docs = list(dict.fromkeys(c for c, _ in open_.values()))
+            rows, parsed = paths.once(rows, [self._document(c) for c in docs])
+            at = {n: paths.candidates(parsed[docs.index(c)], rest, self.separator) for n, (c, rest) in open_.items()}
+            rows, values = paths.once(rows, [v for x in at.values() for v in x])
+            rows, tags = paths.once(rows, [F.schema_of_variant(v) for v in values])
+            i = 0
+            for n, x in at.items():
+                found[n] = paths.scalar(*paths.first_scalar(values[i : i + len(x)], tags[i : i + len(x)]))
+                i += len(x)
+        return rows, {n: x.only(self.declared[n]) if n in self.declared else x for n, x in found.items()}
+
+    def _resolve(self, path: str) -> Typed | tuple[str, str]:
+        """A typed path of real columns, or a column of documents and the path in them."""
         raise NotImplementedError
 
+    def _document(self, column: str) -> Column:
+        """A column of documents as VARIANT."""
+        return F.col(f"`{column}`")
+
     def in_time(self, start: int, end: int) -> Column:
         """Rows in [start, end), nanoseconds."""
         raise NotImplementedError
@@ -45,9 +70,6 @@ class Binding:
         """Columns that a raw query returns."""
         raise NotImplementedError
 
-    #: Whether kinds of paths are known without looking at rows.
-    fixed = True
-
 
 @dataclass
 class Table(Binding):
@@ -62,11 +84,14 @@ class Table(Binding):
     nulls: str = "missing"
     json: tuple[str, ...] = ()
 
-    def _resolve(self, path: str) -> Typed:
+    def _document(self, column: str) -> Column:
+        return F.try_parse_json(F.col(f"`{column}`"))
+
+    def _resolve(self, path: str) -> Typed | tuple[str, str]:
         schema = self.df.schema
         head, _, rest = path.partition(self.separator)
         if rest and head in self.json:
-            return paths.in_variant(F.try_parse_json(F.col(head)), rest, self.separator)
+            return head, rest
         if path == TIMESTAMP and self.time and path not in schema.names:
             path = self.time
         if path in schema.names:
@@ -91,10 +116,6 @@ class Table(Binding):
     def source(self) -> list[str]:
         return self.df.columns
 
-    @property
-    def fixed(self) -> bool:
-        return not self.json
-
 
 @dataclass
 class Documents(Binding):
@@ -108,9 +129,8 @@ class Documents(Binding):
     excluded: str | None = None
     promoted: dict[str, dict[str, str]] = field(default_factory=dict)
     timestamp: str = TIMESTAMP
-    fixed = False
 
-    def _resolve(self, path: str) -> Typed:
+    def _resolve(self, path: str) -> Typed | tuple[str, str]:
         if path == self.timestamp:
             return Typed(F.lit(True), F.lit(False), time=F.col("ts_nanos"))
         parts = path.split(self.separator)
@@ -119,7 +139,7 @@ class Documents(Binding):
         if path in self.promoted:
             own = {kind: F.col(f"`{c}`") for kind, c in self.promoted[path].items()}
             return Typed(reduce(or_, (c.isNotNull() for c in own.values())), own["null"].isNotNull(), **{k: c for k, c in own.items() if k != "null"})
-        return paths.in_variant(F.col("doc"), path, self.separator)
+        return "doc", path
 
     def in_time(self, start: int, end: int) -> Column:
         exact = (F.col("ts_nanos") >= start) & (F.col("ts_nanos") < end)

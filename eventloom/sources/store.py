@@ -1,11 +1,15 @@
-"""Documents at rest: Parquet below namespace=.../dt=..., sorted by time within files.
+"""Documents at rest: Parquet below namespace=.../dt=.../batch=..., sorted by time within files.
 
 A write is atomic (Spark's commit protocol), and a batch with a faulty document writes nothing. Time
-ranges prune days by partition and row groups by statistics of ts_nanos.
+ranges prune days by partition and row groups by statistics of ts_nanos. Paths may be promoted from
+some write on: notes beside the files tell which paths each write has promoted, and columns are read
+only of paths that all have; other paths are looked up in the documents.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.paths import in_variant
 from eventloom.sources.bindings import Documents
+from eventloom.sources.scratch import get_note, names, put_note
 
 #: Types of the columns that hold a promoted path: one for each kind, and a mark for explicit nulls.
 _TYPES = {"bool": "boolean", "int": "bigint", "double": "double", "string": "string", "null": "boolean"}
@@ -28,19 +33,44 @@ def _promoted(path: str) -> dict[str, Column]:
     return {name: values[kind].cast(_TYPES[kind]) for kind, name in columns_of(path).items()}
 
 
-def write(docs: DataFrame, root: str, promote: Sequence[str] = (), compression: str = "zstd") -> None:
+#: What every file has, and how the partitions are read.
+SCHEMA = "doc_id string, _source string, doc variant, ts_nanos long, ts timestamp, namespace string, dt date, batch string"
+#: The folder of notes, and the batch of plain writes.
+NOTES, PLAIN = "_promoted", "0"
+
+
+def write(docs: DataFrame, root: str, promote: Sequence[str] = (), compression: str = "zstd", batch: str | None = None) -> None:
     """Append documents. promote: paths whose values get columns of their own, one a kind, that scans can filter on.
 
-    Columns of kinds that do not occur are empty, which costs Parquet next to nothing.
+    Columns of kinds that do not occur are empty, which costs Parquet next to nothing. batch: a name;
+    a batch of that name that is there already is replaced, so that a write can be repeated.
     """
+    spark = docs.sparkSession
     own = {name: c for path in promote for name, c in _promoted(path).items()}
-    rows = docs.withColumns(own | {"dt": F.to_date("ts")})
+    rows = docs.withColumns(own | {"dt": F.to_date("ts"), "batch": F.lit(batch or PLAIN)})
     # adaptive execution splits a day that is large and joins days that are small
     rows = rows.hint("rebalance", "namespace", "dt").sortWithinPartitions("namespace", "dt", "ts_nanos")
-    rows.write.mode("append").option("compression", compression).partitionBy("namespace", "dt").parquet(root)
+    told = json.dumps(sorted(set(promote)))
+    # before the files: a note too many only costs a push-down, one too few would cost rows
+    put_note(spark, f"{root}/{NOTES}/{hashlib.sha256(told.encode()).hexdigest()[:16]}.json", told)
+    out = rows.write.option("compression", compression).partitionBy("namespace", "dt", "batch")
+    if batch is None:
+        out.mode("append").parquet(root)
+    else:
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+
+
+def promoted_by_all(spark: SparkSession, root: str) -> set[str]:
+    """Paths that every write to a store has promoted."""
+    notes = [set(json.loads(get_note(spark, f"{root}/{NOTES}/{n}"))) for n in names(spark, f"{root}/{NOTES}") if n.endswith(".json") and n[0] != "."]
+    return set.intersection(*notes) if notes else set()
 
 
 def bind(spark: SparkSession, root: str, namespace: str, promote: Sequence[str] = (), **options) -> Documents:
-    """A namespace of a store whose documents were all written with the promoted paths."""
-    rows = spark.read.parquet(root).where(F.col("namespace").cast("string") == namespace)
-    return Documents(rows, promoted={p: columns_of(p) for p in promote}, **options)
+    """A namespace of a store. promote: paths that are read from columns of their own where all files have them."""
+    if not any(n[0] not in "_." for n in names(spark, root)):
+        raise ValueError(f"no documents below {root}")
+    common = promoted_by_all(spark, root) & set(promote)
+    schema = SCHEMA + "".join(f", `{c}` {_TYPES[kind]}" for p in sorted(common) for kind, c in columns_of(p).items())
+    rows = spark.read.schema(schema).parquet(root).where(F.col("namespace") == namespace)
+    return Documents(rows, promoted={p: columns_of(p) for p in common}, **options)

@@ -66,23 +66,23 @@ def parse(query: str | dict, now: int | None = None) -> Query:
     """Check and resolve a query; a ValueError says what is wrong. now: nanoseconds, for ranges without start and end."""
     q = json.loads(query) if isinstance(query, (str, bytes)) else query
     if not isinstance(q, dict):
-        raise ValueError("a query is an object")
+        raise ValueError("a query must be a JSON object")
     namespace = q.get("namespace")
     if not namespace or not isinstance(namespace, str):
-        raise ValueError("no namespace provided in query")
+        raise ValueError("namespace: a name is needed")
     start, end, granularity = _times(q, now)
     lists = tuple(_filter_list(x) for x in _list(q, "filters"))
     group_by = tuple(_list(q, "group_by"))
     if granularity is not None and group_by:
-        raise ValueError("both time granularity and group by clauses provided in query")
+        raise ValueError("group_by: buckets of time cannot be grouped further")
     for g in group_by:
         if not isinstance(g, str):
-            raise ValueError(f"invalid group by field {g!r}")
+            raise ValueError(f"group_by: {g!r} is not a path")
     calcs = _calculations(q, granularity, group_by)
-    order_by = tuple(_order_by(x, group_by, calcs, granularity) for x in _list(q, "order_by"))
+    order_by = tuple(_order_by(x, group_by, calcs, granularity) for x in _objects(q, "order_by"))
     limit = q.get("limit")
     if limit is not None and (not isinstance(limit, int) or isinstance(limit, bool) or limit <= 0):
-        raise ValueError(f"invalid query result limit: {limit}")
+        raise ValueError(f"limit: a whole number above 0, not {limit!r}")
     kind = "buckets" if granularity is not None else "grouped" if group_by else "raw"
     return Query(namespace, start, end, granularity, lists, group_by, calcs, order_by, limit or (GROUP_LIMIT if group_by else RAW_LIMIT), kind)
 
@@ -90,14 +90,22 @@ def parse(query: str | dict, now: int | None = None) -> Query:
 def _list(q: dict, key: str) -> list:
     found = q.get(key)
     if found is not None and not isinstance(found, list):
-        raise ValueError(f"{key} is not a list")
+        raise ValueError(f"{key}: a list is needed")
     return found or []
 
 
+def _objects(q: dict, key: str) -> list[dict]:
+    found = _list(q, key)
+    for x in found:
+        if not isinstance(x, dict):
+            raise ValueError(f"{key}: {x!r} is not an object")
+    return found
+
+
 def _integer(q: dict, key: str) -> int | None:
     x = q.get(key)
-    if x is not None and (not isinstance(x, int) or isinstance(x, bool) or x < 0):
-        raise ValueError(f"invalid query {key.replace('_', ' ')}: {x}")
+    if x is not None and (not isinstance(x, int) or isinstance(x, bool) or not 0 <= x < 2**63):
+        raise ValueError(f"{key}: a whole number of 64 bits from 0 on, not {x!r}")
     return x
 
 
@@ -107,13 +115,13 @@ def _times(q: dict, now: int | None) -> tuple[int, int, int | None]:
     grain = None if q.get("time_granularity") is None else duration(q["time_granularity"])
     scale = NANOS["s"] if q.get("time_unit") is None else unit(q["time_unit"])
     if span is None and (start is None or end is None):
-        raise ValueError("both start time and end time must be specified if no time range is provided")
+        raise ValueError("time_range: needed, unless start_time and end_time are both there")
     if span is not None and span <= 0:
-        raise ValueError(f"invalid query time range: {q['time_range']}")
+        raise ValueError(f"time_range: {q['time_range']!r} is not above 0")
     if span is not None and start is not None and end is not None:
-        raise ValueError("start time, end time, and time range are specified but only two should be included")
+        raise ValueError("time_range: not beside both start_time and end_time")
     if grain is not None and grain <= 0:
-        raise ValueError(f"invalid query time granularity: {q['time_granularity']}")
+        raise ValueError(f"time_granularity: {q['time_granularity']!r} is not above 0")
     if span is None:
         lo, hi = start * scale, end * scale
     elif start is not None:
@@ -122,31 +130,33 @@ def _times(q: dict, now: int | None) -> tuple[int, int, int | None]:
     else:
         hi = end * scale if end is not None else time.time_ns() if now is None else now
         lo = hi - span
+    if not all(-(2**63) <= x < 2**63 for x in (lo, hi)):
+        raise ValueError("the time range is beyond what nanoseconds of 64 bits hold")
     if grain is not None:
         if grain > int((hi - lo) / COARSEST):
-            raise ValueError(f"query granularity {q['time_granularity']} is above the maximum allowed")
+            raise ValueError(f"time_granularity: {q['time_granularity']!r} leaves fewer than {COARSEST} buckets")
         if grain < int((hi - lo) / FINEST):
-            raise ValueError(f"query granularity {q['time_granularity']} is below the minimum allowed")
+            raise ValueError(f"time_granularity: {q['time_granularity']!r} makes more than {FINEST} buckets")
     return lo, hi, grain
 
 
 def _filter_list(x: Any) -> FilterList:
     if not isinstance(x, dict):
-        raise ValueError("a filter list is an object")
+        raise ValueError("filters: each list of filters must be an object")
     combinator = x.get("filter_combinator") or "AND"
     if combinator not in COMBINATORS:
-        raise ValueError(f"unknown filter combinator: {combinator}")
+        raise ValueError(f"filter_combinator: {combinator!r} is none of {', '.join(COMBINATORS)}")
     found = []
-    for f in _list(x, "filters"):
+    for f in _objects(x, "filters"):
         name, op, value = f.get("field"), f.get("op"), f.get("value")
-        if not name:
-            raise ValueError("no field specified in a filter")
+        if not isinstance(name, str) or not name:
+            raise ValueError(f"filters: {name!r} is not a path")
         if op not in filters.OPS:
-            raise ValueError(f"unknown filter op: {op}")
+            raise ValueError(f"filters: there is no operator {op!r}")
         if op in filters.PRESENCE and value is not None:
-            raise ValueError(f"non-empty filter value {value!r} for op {op}")
+            raise ValueError(f"filters: {op} takes no value, but {value!r} is given")
         if op not in filters.PRESENCE and value is None:
-            raise ValueError(f"empty filter value for op {op}")
+            raise ValueError(f"filters: {op} needs a value")
         found.append(Filter(name, op, literal(value)))
     return FilterList(tuple(found), combinator)
 
@@ -155,58 +165,62 @@ def literal(value: Any) -> Any:
     """A filter value as bool, int, float or str; a float that is whole becomes an int."""
     if isinstance(value, bytes):
         return value.decode()
-    if value is None or isinstance(value, (bool, int, str)):
+    if value is None or isinstance(value, (bool, str)) or isinstance(value, int) and -(2**63) <= value < 2**63:
         return value
     if isinstance(value, float):
         return int(value) if value.is_integer() and abs(value) < 2**63 else value
-    raise ValueError(f"unknown value type {type(value).__name__}")
+    raise ValueError(f"filters: {value!r} is neither a truth value, a number of 64 bits nor a text")
 
 
 def _calculations(q: dict, granularity: int | None, group_by: tuple[str, ...]) -> tuple[Calculation, ...]:
-    found = _list(q, "calculations")
+    found = _objects(q, "calculations")
     if found and granularity is not None:
-        raise ValueError("both time granularity and calculations provided in query")
+        raise ValueError("calculations: buckets of time are counted only")
     if found and not group_by:
-        raise ValueError("calculations provided in query but no group by clause specified")
+        raise ValueError("calculations: nothing is grouped that they could be made over")
     out = []
     for c in found:
         op, name = c.get("op"), c.get("field")
         if op not in calculations.OPS:
-            raise ValueError(f"unknown calculation op: {op}")
+            raise ValueError(f"calculations: there is no {op!r}")
+        if name is not None and not isinstance(name, str):
+            raise ValueError(f"calculations: {name!r} is not a path")
         if name is not None and not calculations.requires_field(op):
-            raise ValueError(f"field {name} cannot be specified for calculation op {op} that does not require a field")
+            raise ValueError(f"calculations: {op} is made over rows and not over {name}")
         if name is None and calculations.requires_field(op):
-            raise ValueError(f"no field specified for calculation op {op}")
+            raise ValueError(f"calculations: {op} needs a field")
         out.append(Calculation(op, name))
     return tuple(out)
 
 
 def _order_by(x: dict, group_by: tuple[str, ...], calcs: tuple[Calculation, ...], granularity: int | None) -> OrderBy:
     if granularity is not None:
-        raise ValueError("both time granularity and order by clauses provided in query")
+        raise ValueError("order_by: buckets come in the order of time")
     name, op, order = x.get("field"), x.get("op"), x.get("order") or "ascending"
     if order not in ORDERS:
-        raise ValueError(f"unknown sort order string: {order}")
+        raise ValueError(f"order_by: {order!r} is none of {', '.join(ORDERS)}")
+    if name is not None and not isinstance(name, str):
+        raise ValueError(f"order_by: {name!r} is not a path")
     down = order == "descending"
     if not group_by:
         if name is None:
-            raise ValueError("no field specified in order by for raw query")
+            raise ValueError("order_by: rows are ordered by fields")
         return OrderBy("raw", name, descending=down)
     if op is not None and op not in calculations.OPS:
-        raise ValueError(f"unknown calculation op: {op}")
+        raise ValueError(f"order_by: there is no {op!r}")
     if name is None or op is not None:
         if name is None and op is None:
-            raise ValueError("no field or operation specified in order by for grouped query")
+            raise ValueError("order_by: groups are ordered by a key or a calculation")
         if name is not None and not calculations.requires_field(op):
-            raise ValueError(f"field specified {name} for order by op {op}")
+            raise ValueError(f"order_by: {op} is made over rows and not over {name}")
         if name is None and calculations.requires_field(op):
-            raise ValueError(f"no field specified for order by op {op}")
+            raise ValueError(f"order_by: {op} needs a field")
         for i, c in enumerate(calcs):
             if (c.op, c.field) == (op, name):
                 return OrderBy("calculation", name, i, down)
     elif name in group_by:
         return OrderBy("group", name, group_by.index(name), down)
-    raise ValueError(f"invalid order by clause: {x}")
+    raise ValueError(f"order_by: {x} is neither a key nor a calculation of the query")
 
 
 def unparse(q: Query) -> dict:

@@ -1,27 +1,27 @@
 """Exact top-k search by inner product with ball trees.
 
-The vectors are dealt into shards; each shard builds a ball tree over its own and answers every
-query by branch and bound. A ball of centre c and radius r holds no vector with an inner product
-above q.c + |q| r, so nodes are taken in the order of that bound, and a node whose bound is below
-the query's current k-th score is left out. The k-th scores are shared: a first round has every
-query search one shard only, and the k-th score that it finds there goes along to all other shards
-as a bound to start from.
-
-Queries travel to the shards, as there are fewer of them than candidates, and stream past: a task holds
-one shard and one batch of queries, both bounded. Where queries are so many that a shard would keep
-a task too long, they are dealt into blocks, and a shard goes to one task for each block.
+The vectors are dealt into cells around pivots, each cell into shards; a shard builds a ball tree over its
+own and answers queries by branch and bound. A ball of centre c and radius r holds no vector with an
+inner product above q.c + |q| r, so nodes are taken in the order of that bound, and a node whose bound
+is below the query's current k-th score is cut off with all that is below it.
+
+The k-th scores are shared: a first round has every query search one shard of its own cell, and the
+k-th score that it finds there is the bound for all others. A cell is a ball too, so pairs of a query
+and a cell that the bound rules out are dropped before anything is sent. The other queries stream past
+the shards of the cells that may hold better: a task holds one shard and one batch of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, table
+from .common import bound_batches, hashed_sample, materialize, table
 
 #: Neighbours, factor of the components, and which rows are queries.
 K, SCALE, EVERY = 5, 256, 50
@@ -29,8 +29,12 @@ K, SCALE, EVERY = 5, 256, 50
 SHARD, BLOCK, LEAF = 32_768, 1 << 18, 128
 #: Vectors of a shard where there would be fewer shards than cores.
 SMALLEST = 4096
-#: Sums up to this are exact in float64.
+#: Pivots, at most; what workers are sent of the cells is bounded by them.
+PIVOTS = 4096
+#: Sums up to this are exact in float64; larger ones are made of 64-bit whole numbers.
 EXACT = 2**53
+#: In place of a score where there is none. Scores beyond a long are held at its ends.
+NONE = np.iinfo(np.int64).min
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -72,49 +76,60 @@ class BallTree:
         self.centre, self.radius = np.array(centre), np.array(radius)
 
 
+def _bound(queries: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Upper bounds of inner products with what balls hold; bounds may round, so they are widened."""
+    with np.errstate(invalid="ignore"):
+        upper = queries @ centre.T + np.sqrt((queries**2).sum(1))[:, None] * radius
+    return upper + 1e-9 * np.abs(upper) + 1e-6
+
+
+def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exact; those beyond a long at its ends."""
+    size = [float(np.abs(x.astype(float)).max(initial=0)) for x in (queries, rows)]
+    about = queries.astype(float) @ rows.astype(float).T
+    if size[0] * size[1] * max(rows.shape[1], 1) < EXACT:
+        return about.astype(np.int64)
+    exact = queries @ rows.T  # modulo 2**64, which is right wherever the score is a long
+    return np.where(about >= 2.0**63, 2**63 - 1, np.where(about <= -(2.0**63), NONE + 1, exact))
+
+
 def search(tree: BallTree, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, id, score) of each query's best rows other than itself, at most k; rows below its bound are left out.
 
-    rows, queries: float64 with whole numbers whose inner products are exact. bound: a k-th score
-    known from elsewhere, or -inf. Ties go to smaller ids. All queries advance together: in a step
-    each takes its open node with the greatest bound; those at one leaf share a product.
+    rows, queries: whole numbers. bound: a k-th score known from elsewhere, or NONE. Ties go to smaller
+    ids. The node with the greatest bound over the queries that may still find better there comes next;
+    those for which its bound is too low drop out, and where all do, nothing below it is looked at.
     """
     n = len(queries)
-    best = np.full((n, k), -np.inf)
+    best = np.full((n, k), NONE)
     best_id = np.full((n, k), np.iinfo(np.int64).max)
-    floor = bound.astype(float).copy()  # a row below it is not among the k best
-    norm = np.sqrt((queries**2).sum(1))
-    # bounds may round; they are widened so that no row is lost
-    upper = queries @ tree.centre.T + norm[:, None] * tree.radius
-    upper += 1e-9 * np.abs(upper) + 1e-6
-    # a node's bound holds for what is below it, so the least bound on the way down does too
-    for node in range(len(tree.lo)):
-        for child in (tree.left[node], tree.right[node]):
-            if child >= 0:
-                np.minimum(upper[:, child], upper[:, node], out=upper[:, child])
-    leaves = np.flatnonzero(tree.left < 0)
-    upper = upper[:, leaves]
-    order = np.argsort(-upper, axis=1, kind="stable")
-    live = np.arange(n)
-    for step in range(len(leaves)):
-        at = order[live, step]
-        go = upper[live, at] >= floor[live]  # bounds only fall from here: a query that fails is done
-        live, at = live[go], at[go]
+    floor = bound.astype(np.int64)  # a row below it is not among the k best
+    near = queries.astype(float)
+    todo = [(0.0, 0, np.arange(n), np.full(n, np.inf))]
+    while todo:
+        _, node, live, upper = heappop(todo)
+        go = (upper >= floor[live]) | (floor[live] == NONE)
+        live, upper = live[go], upper[go]
         if not len(live):
-            break
-        by = np.argsort(at, kind="stable")
-        for group in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
-            node = leaves[at[group[0]]]
-            mine = tree.order[tree.lo[node] : tree.hi[node]]
-            q = live[group]
-            score = queries[q] @ rows[mine].T
-            score[query_ids[q][:, None] == ids[mine][None, :]] = -np.inf
-            all_scores = np.concatenate([best[q], score], 1)
-            all_ids = np.concatenate([best_id[q], np.broadcast_to(ids[mine], score.shape)], 1)
-            pick = np.lexsort((all_ids, -all_scores), axis=1)[:, :k] if all_scores.shape[1] <= 64 else _first(all_scores, all_ids, k)
-            best[q], best_id[q] = np.take_along_axis(all_scores, pick, 1), np.take_along_axis(all_ids, pick, 1)
-            floor[q] = np.maximum(floor[q], best[q, -1])
-    found = (best > -np.inf) & (best >= floor[:, None])
+            continue
+        if tree.left[node] >= 0:
+            for child in (int(tree.left[node]), int(tree.right[node])):
+                # a node's bound holds for what is below it too
+                below = np.minimum(upper, _bound(near[live], tree.centre[child : child + 1], tree.radius[child : child + 1])[:, 0])
+                go = (below >= floor[live]) | (floor[live] == NONE)
+                if go.any():
+                    heappush(todo, (-float(below[go].max()), child, live[go], below[go]))
+            continue
+        mine = tree.order[tree.lo[node] : tree.hi[node]]
+        for part in np.array_split(live, -(-len(live) // 4096)):
+            score = products(queries[part], rows[mine])
+            score[query_ids[part][:, None] == ids[mine][None, :]] = NONE
+            all_scores = np.concatenate([best[part], score], 1)
+            all_ids = np.concatenate([best_id[part], np.broadcast_to(ids[mine], score.shape)], 1)
+            pick = _first(all_scores, all_ids, k)
+            best[part], best_id[part] = np.take_along_axis(all_scores, pick, 1), np.take_along_axis(all_ids, pick, 1)
+            floor[part] = np.maximum(floor[part], best[part, -1])
+    found = (best > NONE) & (best >= floor[:, None])
     return np.nonzero(found)[0], best_id[found], best[found]
 
 
@@ -124,7 +139,7 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     out = np.empty((len(scores), k), np.int64)
     for i, (s, x, c) in enumerate(zip(scores, ids, cut, strict=True)):
         maybe = np.flatnonzero(s >= c)
-        out[i] = maybe[np.lexsort((x[maybe], -s[maybe]))[:k]]
+        out[i] = maybe[np.lexsort((x[maybe], ~s[maybe]))[:k]]  # ~s falls as s rises, and has no overflow
     return out
 
 
@@ -145,29 +160,19 @@ class Shard:
 
     def __init__(self, parts: list[tuple[np.ndarray, pa.Array]]) -> None:
         self.held = _by_length(np.concatenate([i for i, _ in parts]), pa.concat_arrays([v for _, v in parts])) if parts else {}
-        self.trees: dict[int, tuple[BallTree, np.ndarray]] = {}
+        self.trees: dict[int, BallTree] = {}
 
     def answer(self, ids: np.ndarray, v: pa.Array, bound: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query ids, ids, scores) of the best candidates for each query; bound is NaN where none is known."""
+        """(query ids, ids, scores) of the best candidates for each query; bound is NONE where none is known."""
         out = []
         for n, (query_ids, queries, place) in _by_length(ids, v).items():
             if n not in self.held:
                 continue
             own, rows, _ = self.held[n]
-            size = [int(np.abs(x.astype(float)).max(initial=0)) for x in (rows, queries)]
-            if size[0] * size[1] * max(n, 1) < EXACT:
-                if n not in self.trees:
-                    self.trees[n] = BallTree(rows.astype(float)), rows.astype(float)
-                tree, exact = self.trees[n]
-                q, i, s = search(tree, exact, own, queries.astype(float), query_ids, np.where(np.isnan(bound[place]), -np.inf, bound[place]), k)
-                out.append((query_ids[q], i, s.astype(np.int64)))
-            else:  # beyond what float64 holds exactly: whole numbers of any size, compared one query at a time
-                wide = rows.astype(object)
-                for j, query in enumerate(queries.astype(object)):
-                    s = wide @ query if n else np.zeros(len(rows), object)
-                    best = sorted((-int(x), int(y)) for x, y in zip(s, own, strict=True) if y != query_ids[j])[:k]
-                    # a score beyond a long is held at its end
-                    out.append((np.full(len(best), query_ids[j]), np.array([y for _, y in best], np.int64), np.array([max(-(2**63), min(2**63 - 1, -x)) for x, _ in best], np.int64)))
+            if n not in self.trees:
+                self.trees[n] = BallTree(rows.astype(float))
+            q, i, s = search(self.trees[n], rows, own, queries, query_ids, bound[place], k)
+            out.append((query_ids[q], i, s))
         return out
 
 
@@ -187,26 +192,86 @@ def _stream(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 continue
             if shard is None:
                 shard, parts = Shard(parts), []
-            found = shard.answer(ids, v, rows.column(5).cast(pa.float64()).to_numpy(zero_copy_only=False), k)
+            found = shard.answer(ids, v, rows.column(5).fill_null(int(NONE)).to_numpy(), k)
             if found:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
 
+class Cells:
+    """Pivots by length of vectors: each vector belongs to the cell of the nearest pivot of its length; -1 is the cell of lengths without one."""
+
+    def __init__(self, pivots: list[list[int]]) -> None:
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(p) for p in pivots}:
+            at = [i for i, p in enumerate(pivots) if len(p) == n]
+            self.of[n] = np.array(at), np.array([pivots[i] for i in at], float).reshape(len(at), n)
+
+    def nearest(self, v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and distance to its pivot."""
+        cell, far = np.full(len(v), -1, np.int32), np.zeros(len(v))
+        for n, (_, rows, place) in _by_length(np.arange(len(v)), v).items():
+            if n not in self.of:
+                continue
+            at, pivot = self.of[n]
+            for part in np.array_split(np.arange(len(rows)), -(-len(rows) // 1024)):
+                x = rows[part].astype(float)
+                d = (x**2).sum(1)[:, None] - 2 * x @ pivot.T + (pivot**2).sum(1)
+                near = d.argmin(1)
+                cell[place[part]] = at[near]
+                far[place[part]] = np.sqrt(((x - pivot[near]) ** 2).sum(1))
+        return cell, far
+
+    def reach(self, v: pa.Array, bound: np.ndarray, radius: dict[int, float]) -> list[np.ndarray]:
+        """Of each query the cells that may hold a score of its bound or more."""
+        out: list[np.ndarray] = [np.array([-1])] * len(v)
+        for n, (_, queries, place) in _by_length(np.arange(len(v)), v).items():
+            if n not in self.of:
+                continue
+            at, pivot = self.of[n]
+            r = np.array([radius.get(int(i), -np.inf) for i in at])  # a cell without vectors has no radius
+            for part in np.array_split(np.arange(len(queries)), -(-len(queries) // 1024)):
+                may = (_bound(queries[part].astype(float), pivot, r) >= bound[place[part], None]) | (bound[place[part], None] == NONE)
+                for i, row in zip(place[part].tolist(), may & (r > -np.inf), strict=True):
+                    out[i] = at[row]
+        return out
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best candidates by inner product, itself left out.
 
     candidates, queries: (vec_id, v array<long>) as ``quantized`` gives them, as written tables. All
     candidates are searched; ties go to smaller vec_ids. A query with fewer than k candidates of its
     length gets all of them; one without any gets no row. Rows repeated among the candidates count
-    each; a repeated query is answered once.
+    each; a repeated query is answered once. A score beyond a long is held at its end.
     """
     spark = candidates.sparkSession
     bound_batches(spark)
     n, asked = candidates.count(), queries.count()
     cores = spark.sparkContext.defaultParallelism
     shards, blocks = max(1, -(-n // shard), min(cores, n // SMALLEST)), max(1, -(-asked // block))
-    dealt = candidates.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    queries = queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("query")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    few = hashed_sample(candidates, "vec_id", min(shards, PIVOTS))
+    pivots = candidates.join(F.broadcast(few), "vec_id", "left_semi").dropDuplicates(["vec_id"]).orderBy("vec_id").select("v").limit(PIVOTS).collect()
+    cells = spark.sparkContext.broadcast(Cells([r["v"] for r in pivots]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, far = cells.value.nearest(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(far)], ["vec_id", "v", "cell", "far"])
+
+    kinds = "vec_id long, v array<long>, cell int, far double"
+    held = materialize(candidates.select("vec_id", "v").mapInArrow(deal, kinds), "cells")
+    most = -(-n // shards)
+    size = {r["cell"]: (r["n"], r["far"]) for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    first, parts, so_far = {}, {}, 0  # a cell's first shard, and how many it has
+    for cell in sorted(size):
+        first[cell], parts[cell] = so_far, -(-size[cell][0] // most)
+        so_far += parts[cell]
+    told = spark.createDataFrame([(c, first[c], parts[c]) for c in size], "cell int, first int, parts int")
+    in_shard = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard")
+    dealt = held.join(F.broadcast(told), "cell").select("vec_id", "v", in_shard)
+    queries = queries.dropDuplicates(["vec_id"]).select("vec_id", "v").mapInArrow(deal, kinds)
+    # a query whose cell holds no candidate starts without a bound
+    home = materialize(queries.join(F.broadcast(told), "cell", "left").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), in_shard.alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")), "queries")
 
     def round_of(at: DataFrame) -> DataFrame:
         """at: queries with a shard and a bound."""
@@ -215,14 +280,25 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard: int = SH
         dealt_out = both.repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
         return dealt_out.mapInArrow(lambda x: _stream(x, k), "query_id long, vec_id long, score long")
 
-    none = F.lit(None).cast("long").alias("bound")
-    home = F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")
-    first = materialize(round_of(queries.select("*", home.alias("shard"), none)), "first")
-    found = first
-    if shards > 1:
-        bound = first.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("__n")).select("query_id", F.when(F.col("__n") >= k, F.col("bound")).alias("bound"))
-        rest = queries.join(bound, "query_id", "left").withColumn("shard", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), home)))
-        found = first.union(round_of(rest))
+    found = materialize(round_of(home.where("shard IS NOT NULL").withColumn("bound", F.lit(None).cast("long"))), "first")
+    if so_far > 1:
+        bound = found.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("__n")).select("query_id", F.when(F.col("__n") >= k, F.col("bound")).alias("bound"))
+        radius, shards_of = {c: far for c, (_, far) in size.items()}, {c: np.arange(first[c], first[c] + parts[c]) for c in size}
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                to = cells.value.reach(b.column(1), b.column(4).fill_null(int(NONE)).to_numpy(), radius)
+                to = [np.concatenate([np.array([], np.int64), *(shards_of[c] for c in x.tolist() if c in shards_of)]) for x in to]
+                which = np.repeat(np.arange(len(to)), [len(x) for x in to])
+                away = pa.array(np.concatenate([np.array([], np.int64), *to]).astype(np.int32))
+                for i in range(0, len(which), 4096):
+                    rows = b.take(pa.array(which[i : i + 4096]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, away.slice(i, 4096)], [*b.schema.names, "away"])
+
+        kinds = "query_id long, query array<long>, shard int, block int, bound long"
+        away = home.join(bound, "query_id", "left").select("query_id", "query", "shard", "block", "bound").mapInArrow(reach, f"{kinds}, away int")
+        away = away.where("shard IS NULL OR away <> shard").select("query_id", "query", F.col("away").alias("shard"), "block", "bound")
+        found = found.union(round_of(away))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -23,7 +23,10 @@ def test_against_all_rules(spark, monkeypatch):
     path = lambda: "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 5)))
     rules = list({(h, p): (h, p, v) for h, p, v in ((host(), path(), r.choice(["allow", "block"])) for _ in range(200))}.values())
     rows = [(i, r.choice(["http://", "HTTPS://", "x"]) + host().upper() + r.choice(["", path(), path() + "?q=/a", "#/a/", "?/a"])) for i in range(3000)]
-    rows += [(3001, None), (3002, ""), (3003, "no scheme"), (3004, "://"), (3005, "http://a.org\n/x\n?"), (3005, "http://a.org\n/x\n?"), (None, "http://A.co/")]
+    rows += [(3001, None), (3002, ""), (3003, "no scheme"), (3004, "://"), (3005, "http://a.org\n/x\n?"), (3005, "http://a.org\n/x\n?"), (3006, "http://a\x01b/a"), (3007, "http://b\x02.a\x01/a"), (3008, "http://a\x02\x02b/"), (None, "http://A.co/")]
+    rules += [("a\x01b", "/a", "block"), ("a\x02\x02b", "/", "block"), ("a", "/a", "block")]
+    rules = list({r[:2]: r for r in rules}.values())
+    rows += [(i, "http://hot.example.com/a/b") for i in range(4000, 5000)]  # a url that repeats
     df = spark.createDataFrame(rows, "page_id long, url string").repartition(5)
     want = sorted((i or -1, *map(str, brute(u, rules))) for i, u in rows)
     for run in (10**6, 17):

@@ -14,11 +14,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from urllib.parse import quote
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,6 +79,31 @@ def flat_files(docs: DataFrame, block: int = BLOCK, path: str | None = None) ->
     return rows.mapInArrow(run, schema)
 
 
+def read_flat(spark: SparkSession, path: str, block: int = BLOCK, width: str = WIDTH) -> DataFrame:
+    """(path, file, block, tokens) of flat token files, for ``count``: a file is read by ranges of its bytes, each in a task of its own.
+
+    path: a file, a folder or a pattern that Spark's readers take; file: a number made of the file's path.
+    Files are opened by workers, from any store that Arrow knows. An empty file has no blocks. A
+    file that does not end with a whole token raises an error.
+    """
+    step = block * np.dtype(width).itemsize
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")  # sizes only: no content is read
+    last = F.floor((F.col("length") - 1) / step)
+    parts = files.select("path", F.xxhash64("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (at, _, number, length) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if length % np.dtype(width).itemsize:
+                    raise ValueError(f"{at} does not end with a whole token")
+                store, name = (fs.LocalFileSystem(), "/" + at.removeprefix("file:").lstrip("/")) if at.startswith("file:") else fs.FileSystem.from_uri(quote(at, safe=":/@"))
+                with store.open_input_file(name) as f:
+                    raw = f.read_at(min(step, length - number * step), number * step)
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns[:3], pa.array([raw], pa.binary())], ["path", "file", "block", "tokens"])
+
+    return parts.repartition("file", "block").mapInArrow(run, "path string, file long, block long, tokens binary")
+
+
 def count(blocks: DataFrame, block: int = BLOCK, end: int = END, width: str = WIDTH) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) of every document in blocks (file, block, tokens).
 
@@ -112,7 +139,10 @@ def count(blocks: DataFrame, block: int = BLOCK, end: int = END, width: str = WI
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens, counted in flat files of the documents: doc_id, file, ordinal, start, n_tokens."""
+    """Every document's tokens, counted in flat files of the documents: doc_id, file, ordinal, start, n_tokens.
+
+    A null or empty text has 0 tokens. Repeated rows are documents of their own. An empty table gives no rows.
+    """
     files = materialize(flat_files(table(spark, sf_dir, "documents")), "flat")
     names = files.where("tokens IS NULL").select("file", "ordinal", "doc_id")
     return count(files.where("tokens IS NOT NULL")).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

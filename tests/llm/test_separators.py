@@ -32,3 +32,19 @@ def test_round_trip_of_documents(spark, odd, empty, texts):
     assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in counts.collect()) == want
     none = separators.materialize(separators.flat_files(empty), "flat")
     assert separators.count(none.where("tokens IS NOT NULL")).collect() == []
+
+
+def test_flat_files_are_read_by_ranges(spark, tmp_path):
+    r, want = random.Random(8), []
+    for name, n in (("a.bin", 5000), ("b.bin", 1), ("c.bin", 0), ("d d.bin", 777)):
+        tokens = np.array([r.choice([9, 9, 1, 2, 60_000]) for _ in range(n)], "<u2")
+        (tmp_path / name).write_bytes(tokens.tobytes())
+        start = 0
+        for i in np.flatnonzero(tokens == 9).tolist():
+            want.append((i - start, True))
+            start = i + 1
+        if start < n:
+            want.append((n - start, False))
+    blocks = separators.read_flat(spark, str(tmp_path), block=64)
+    assert blocks.count() == 79 + 1 + 13
+    assert sorted((x["n_tokens"], x["closed"]) for x in separators.count(blocks, 64, 9).collect()) == sorted(want)

@@ -33,8 +33,8 @@ from .tokens import tokenizer
 CAPACITY, END = 4096, 1
 #: Rounds of multiplicative weights, doubled up to so many while the duality gap is above GAP; how fast prices fall.
 ROUNDS, MOST_ROUNDS, GAP, RATE = 4, 32, 0.01, 0.3
-#: Difference of prices that counts as none; share of tokens that is left to the remainder.
-TIE, REST = 1e-3, 0.03
+#: Difference of prices that counts as none, less than that of one token; share of tokens that is left to the remainder.
+TIE, REST = 1e-4, 0.03
 #: Pieces of a length in a bucket, about, as long as that takes no more than so many buckets.
 BUCKET, BUCKETS = 1000, 4096
 #: Texts tokenized at a time.

@@ -31,10 +31,12 @@ BROADCAST = 32 << 20
 CUTS, STEPS = 16, 8
 SEED = 42
 
-#: A document's tokens are estimated as tokenizers split before they merge: runs of letters, single digits,
-#: runs of other signs, and single letters of scripts that are written without spaces; and an end.
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-TOKEN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+|\p{{N}}|[^\x20\x09-\x0D\p{{L}}\p{{M}}\p{{N}}]+"
+#: A document's tokens are estimated as tokenizers split before they merge: runs of Latin letters, single
+#: digits, runs of ASCII signs, single letters of scripts that are written without spaces, and runs of
+#: anything else beyond ASCII; and an end. Ranges of code points only, which cost little to test.
+_ALONE = r"\u0E00-\u0E7F\u2E80-\u9FFF\uF900-\uFAFF\uFF66-\uFF9D"
+_LATIN = r"A-Za-z\u00C0-\u024F"
+TOKEN = rf"[{_LATIN}]++|[0-9]|[!-/:-@\[-`{{-~]++|[{_ALONE}\x{{20000}}-\x{{3FFFF}}]|[^\x00-\x7F\u00C0-\u024F{_ALONE}\x{{20000}}-\x{{3FFFF}}]++"
 #: Columns that mixing adds.
 NAMES = ("block", "epoch", "mix_at", "n_tokens")
 

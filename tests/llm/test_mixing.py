@@ -2,16 +2,14 @@ import re
 from collections import Counter, defaultdict
 from math import log
 
-import regex
-
 from eventloom.llm import mixing
 
-ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
-TOKEN = regex.compile(rf"[{ALONE}]|(?:(?![{ALONE}])[\p{{L}}\p{{M}}])+|\p{{N}}|[^\x20\x09-\x0D\p{{L}}\p{{M}}\p{{N}}]+")
+ALONE = "\u0e00-\u0e7f\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[A-Za-z\u00c0-\u024f]+|[0-9]|[!-/:-@\[-`{{-~]+|[{ALONE}]|[^\x00-\x7f\u00c0-\u024f{ALONE}]+")
 
 
 def test_tokens(spark, texts):
-    more = ["日本語のテキスト 12 a-b c.d!? é́x", "ไทย abc", "", "a\u00a0b\x85", "한국어 text"]
+    more = ["日本語のテキスト 12 a-b c.d!? é́x", "ไทย abc", "", "a\u00a0b\x85", "한국어 text", "Привет, мир! 𠀀𠀁 x₂", "\x00\x01 a\x7fb", "5×3÷2"]
     rows = [(i, t) for i, t in enumerate([*texts.values(), *more])]
     got = spark.createDataFrame(rows, "i long, text string").select("i", mixing.tokens(mixing.F.col("text")).alias("n")).collect()
     assert all(r["n"] == len(TOKEN.findall(rows[r["i"]][1])) + 1 for r in got)

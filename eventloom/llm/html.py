@@ -389,7 +389,7 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> list[float]:
                     rows.append([0.0] * (n + KINDS) + [*own[KINDS:], float(content)])  # as it would look in bare markup
             yield pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], ["row"])
 
-    sample = pages.join(F.broadcast(hashed_sample(pages, "page_id", most)), "page_id", "left_semi").select("html")
+    sample = pages.join(F.broadcast(hashed_sample(pages, "page_id", most)), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html")).select("html")
     got = sample.mapInArrow(run, "row array<double>").toArrow().column("row").to_pylist()
     return fit(np.array(got).reshape(-1, len(PRIOR) + 1))
 

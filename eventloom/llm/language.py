@@ -191,14 +191,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, docs: int = TRAIN_DOCS) -> Trees | None:
     """Trees from (doc_id, lang, text) rows: of each language the ``docs`` rows whose ids hash lowest.
 
-    Rows without a language or text are not used. None if no row is left. Only gram counts of
+    Rows without a language or text are not used, and of an id that repeats only its least text. None if no row is left. Only gram counts of
     that sample reach the driver, the ``TRAIN_GRAMS`` most frequent ones of a language.
     """
     spark = labelled.sparkSession
     bound_batches(spark)
     rows = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     ids = hashed_sample(rows, "doc_id", docs, "lang")
-    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"]).select("lang", "text")
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     got = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     often = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     got = got.withColumn("rank", F.row_number().over(often)).where(F.col("rank") <= TRAIN_GRAMS).drop("rank").toArrow()

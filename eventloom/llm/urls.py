@@ -133,7 +133,8 @@ def _sweep(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
         def keys() -> Iterator[tuple[str, str]]:
             for batch in batches:
-                held.append(batch)
+                if len(batch):
+                    held.append(batch)
                 yield from zip(texts_of(batch, "key"), texts_of(batch, "path"), strict=True)
 
         found = Rules(sent.value).sweep(keys())  # one sweep over all of a partition, in the order of keys

@@ -94,3 +94,9 @@ def test_noise_and_other_scripts_go(spark, documents):
 def test_clean_documents_are_kept(documents):
     trees = language.train(documents.where(~language.held_out()))
     assert language.keep_identified(documents, trees).count() == documents.count()
+
+
+def test_an_id_that_repeats_counts_once(spark, documents):
+    more = documents.unionByName(documents.where("doc_id < 20").crossJoin(spark.range(50).select()).withColumn("text", documents["text"]))
+    a, b = language.train(documents), language.train(more.repartition(5))
+    assert a.langs == b.langs and all((x[0] == y[0]).all() and (x[1] == y[1]).all() for x, y in zip(a.counts, b.counts, strict=True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +11,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Distinct pieces that a memo of one worker holds; it starts anew beyond that.
-MEMO = 600_000
+MEMO = 250_000
+#: Characters of a text that are split at a time, about.
+PART = 1 << 18
+_SPACE = re.compile("[\t\n\x0b\x0c\r ]")
 
 #: Letters of texts that are split here: a-z and those of Latin-1 and Latin Extended-A whose lower case is one letter.
 _LETTERS = "a-z\xdf-\xf6\xf8-\xffāă-įı-ž"
@@ -26,16 +30,31 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class _Memo:
-    """Pieces of text, numbered, with their ids in one flat array."""
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of bounded length, cut behind white space; a longer word is not cut."""
+    at = 0
+    while len(text) - at > PART:
+        space = _SPACE.search(text, at + PART)
+        if space is None:
+            break
+        yield text[at : space.end()]
+        at = space.end()
+    yield text[at:]
 
-    def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+
+class _Memo(dict):
+    """Number of each piece of text, with the pieces' ids in one flat array. A piece that is not known yet is learnt when it is looked up."""
+
+    def __init__(self, learn: Callable[[str], list[int]]) -> None:
+        self.learn = learn
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+
+    def __missing__(self, piece: str) -> int:
+        return self.add(piece, self.learn(piece))
 
-    def add(self, piece: str, ids: list[int]) -> None:
-        n = len(self.place)
+    def add(self, piece: str, ids: list[int]) -> int:
+        n = len(self)
         if n == len(self.start):
             self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
@@ -43,12 +62,13 @@ class _Memo:
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n], self.size[n] = self.used, len(ids)
         self.used += len(ids)
-        self.place[piece] = n
+        self[piece] = n
+        return n
 
     def ids(self, pieces: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         size = self.size[at]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         n = int(ends[-1]) if len(ends) else 0
         return self.flat[np.arange(n) + np.repeat(self.start[at] - (ends - size), size)] if n else np.empty(0, np.uint32)
 
@@ -67,7 +87,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.runs, self.words = _Memo(), _Memo()
+        self.runs, self.words = _Memo(self._run), _Memo(self._word)
 
     def _split(self, text: str) -> list[str] | None:
         """Runs of a text that can be split here."""
@@ -80,33 +100,27 @@ class WordTokenizer:
             return None
         return _SPLIT.findall(low)
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        model, letters = self.tokenizer.model, self.letters
-        for r in runs:
-            known = r if r.isascii() else "".join([letters[b] for b in r.encode()])
-            self.runs.add(r, [t.id for t in model.tokenize(known)])
-
-    def _learn_words(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words.add(w, e.ids)
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _run(self, run: str) -> list[int]:
+        known = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
+        return [t.id for t in self.tokenizer.model.tokenize(known)]
+
+    def _word(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> np.ndarray:
+        """The ids of a text of bounded length."""
+        if len(self.runs) > MEMO:
+            self.runs = _Memo(self._run)
+        if len(self.words) > MEMO:
+            self.words = _Memo(self._word)
+        found = self._split(text)
+        if found is not None:
+            return self.runs.ids(found)
+        return self.words.ids([w.decode() for w in text.encode("utf-8", "replace").split()])
+
+    def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; a null text is empty."""
-        if len(self.runs.place) > MEMO:
-            self.runs = _Memo()
-            self.tokenizer.model._clear_cache()
-        if len(self.words.place) > MEMO:
-            self.words = _Memo()
-        pieces = []
-        for t in texts:
-            found = self._split(t or "")
-            if found is not None:
-                pieces.append((self.runs, found))
-            else:
-                pieces.append((self.words, [w.decode() for w in t.encode("utf-8", "replace").split()]))
-        for memo, learn in ((self.runs, self._learn_runs), (self.words, self._learn_words)):
-            learn(list(dict.fromkeys(p for m, ps in pieces if m is memo for p in ps if p not in memo.place)))
-        return [memo.ids(p) for memo, p in pieces]
+        return [np.concatenate([self._ids(part) for part in _parts(text or "")]) for text in texts]
 
 
 @lru_cache(1)

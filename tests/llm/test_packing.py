@@ -18,6 +18,16 @@ def test_ids_are_those_of_the_whole_text(texts):
         assert ids.tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_parts_are_those_of_the_whole_text(texts, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 7)
+    monkeypatch.setattr(tokens, "MEMO", 20)
+    many = [*list(texts.values())[:20], " ".join(STRANGE), "\n".join(STRANGE * 3), "x" * 50, " " * 50, "a " * 9, "abcdefg ", "abcdefg", "", None]
+    made = tokens.WordTokenizer()
+    for text, ids in zip(many, made.ids(many), strict=True):
+        assert ids.tolist() == made.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    assert list(tokens._parts("ab cdefghi jkl m")) == ["ab cdefghi ", "jkl m"]
+
+
 @pytest.mark.parametrize("lengths", [[4096] * 3, [1] * 5000, [2049] * 7 + [2047] * 7, [1365] * 500, list(range(1, 600)), [3000, 2000, 1096, 1096, 1000]])
 def test_plan_packs_the_histogram(lengths):
     histogram = Counter(lengths)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -43,34 +44,17 @@ def _parts(text: str) -> Iterator[str]:
 
 
 class _Memo(dict):
-    """Number of each piece of text, with the pieces' ids in one flat array. A piece that is not known yet is learnt when it is looked up."""
+    """The ids of each piece of text as bytes of uint32. A piece that is not known yet is learnt when it is looked up."""
 
     def __init__(self, learn: Callable[[str], list[int]]) -> None:
         self.learn = learn
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
-
-    def __missing__(self, piece: str) -> int:
-        return self.add(piece, self.learn(piece))
-
-    def add(self, piece: str, ids: list[int]) -> int:
-        n = len(self)
-        if n == len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self[piece] = n
-        return n
-
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[at]
-        ends = np.cumsum(size, dtype=np.int64)
-        n = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(n) + np.repeat(self.start[at] - (ends - size), size)] if n else np.empty(0, np.uint32)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = array("I", self.learn(piece)).tobytes()
+        return ids
+
+    def ids(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, pieces))
 
 
 class WordTokenizer:
@@ -107,7 +91,7 @@ class WordTokenizer:
     def _word(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _ids(self, text: str) -> bytes:
         """The ids of a text of bounded length."""
         if len(self.runs) > MEMO:
             self.runs = _Memo(self._run)
@@ -120,7 +104,7 @@ class WordTokenizer:
 
     def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32; a null text is empty."""
-        return [np.concatenate([self._ids(part) for part in _parts(text or "")]) for text in texts]
+        return [np.frombuffer(b"".join(map(self._ids, _parts(text or ""))), np.uint32) for text in texts]
 
 
 @lru_cache(1)

@@ -56,3 +56,36 @@ def test_odd_rows(spark, odd, empty):
     assert all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (1, 2, 3, 4, 5))
     nothing = quality.fit(empty, labels.where("false"))
     assert quality.judge(empty, nothing).collect() == []
+
+
+def test_all_trusted_documents_count(spark, monkeypatch):
+    import numpy as np
+
+    texts = [f"text {i * 7919} of {i * i}" + " more" * (i % 50) for i in range(11_000)]
+    rows = [*enumerate(texts), (3, "another text of an id that repeats"), (4, " "), (None, "a row without an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 10_500)) for i in range(11_000)] + [(None, 1)], "doc_id long, quality int")
+    count = lambda some: sum(np.bincount(g, minlength=quality.BUCKETS) for _, g, _ in quality._grams(some)) + quality.PSEUDO
+    good = [t.encode() for i, t in rows if i is not None and i < 10_500]
+    p, q = count(good), count([t.encode() for _, t in rows])
+    want = quality.Ratio(np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
+    means = want.means([t for t in good if t.strip()])
+    # ids broadcast and not; means gathered, and found by ranges
+    for sent, gather in ((quality.BROADCAST, quality.GATHER), (0, 10)):
+        monkeypatch.setattr(quality, "BROADCAST", sent)
+        monkeypatch.setattr(quality, "GATHER", gather)
+        got = quality.fit(docs, labels)
+        assert np.allclose(got.ratio, want.ratio)
+        assert np.isclose(got.threshold, np.quantile(means, quality.QUANTILE) - quality.MARGIN)
+
+
+def test_quantile_is_that_of_all_values(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "GATHER", 5)
+    monkeypatch.setattr(quality, "PARTS", 4)
+    r = np.random.default_rng(2)
+    for values in (r.normal(size=300), np.round(r.normal(size=300)), np.full(20, 0.25), [1.0], [-1e300, 0.0, 1e-300, 1e300, 2.0, 3.0, 4.0]):
+        df = spark.createDataFrame([(float(v),) for v in values], "score double")
+        for q in (0.002, 0.5, 1.0):
+            assert np.isclose(quality.quantile_of(df, q), np.quantile(values, q)), (values, q)

@@ -40,6 +40,20 @@ STEP = 1 << 16
 _FULL = (1 << 64) - 1
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of given hashes (uint64): the bits that over half of them have; 0 of none."""
+    return _majority(sum((_ones(hashes[i : i + STEP]) for i in range(0, len(hashes), STEP)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """SimHash of the word shingles of a text, repeats included; 0 if it has no word (or is null)."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -56,9 +70,8 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     begin, end = start[: len(start) - words + 1], (start + size)[words - 1 :]
     hashed, n = np.zeros(64, np.int64), len(begin)
     for i in range(0, n, STEP):
-        h = np.array([xxhash.xxh64_intdigest(flat[a:b], seed) for a, b in zip(begin[i : i + STEP].tolist(), end[i : i + STEP].tolist(), strict=True)], ">u8")
-        hashed += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * hashed > n).tobytes(), "big")
+        hashed += _ones(np.array([xxhash.xxh64_intdigest(flat[a:b], seed) for a, b in zip(begin[i : i + STEP].tolist(), end[i : i + STEP].tolist(), strict=True)], np.uint64))
+    return _majority(hashed, n)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:

@@ -71,7 +71,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def is_scalar(tag: Column) -> Column:
     """tag: what schema_of_variant says. Objects and arrays are none."""
-    return ~tag.rlike("^(OBJECT|ARRAY)")
+    return ~(tag.startswith("OBJECT") | tag.startswith("ARRAY"))
+
+
+def is_fraction(tag: Column) -> Column:
+    """Of a kind that can hold fractions; whole numbers of it are ints all the same."""
+    return tag.startswith("DECIMAL") | tag.startswith("DOUBLE") | tag.startswith("FLOAT")
 
 
 def _stepwise(doc: Column, parts: list[str], separator: str) -> Column:
@@ -102,16 +107,10 @@ def first_scalar(values: list[Column], tags: list[Column]) -> tuple[Column, Colu
     return picked[0] if len(picked) == 1 else tuple(F.coalesce(*x) for x in zip(*picked, strict=True))
 
 
-def in_variant(doc: Column, path: str, separator: str = SEPARATOR) -> Typed:
-    """A path in a VARIANT column. Objects and arrays count as missing; numbers that are whole are ints."""
-    found = candidates(doc, path, separator)
-    return scalar(*first_scalar(found, [F.schema_of_variant(v) for v in found]))
-
-
 def scalar(v: Column, tag: Column | None = None) -> Typed:
     """A VARIANT column of scalars, or SQL null where there is none. tag: what schema_of_variant says of it."""
     tag = F.schema_of_variant(v) if tag is None else tag
-    number = F.when(tag.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+    number = F.when(is_fraction(tag), F.try_variant_get(v, "$", "double"))
     whole = (number == F.floor(number)) & (F.abs(number) < float(2**63))
     return Typed(
         exists=v.isNotNull(),
@@ -135,6 +134,21 @@ def once(rows: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[Column
     return rows.select("*", made), [F.col(n) for n in names]
 
 
+def look_up(rows: DataFrame, at: dict[str, list[Column]]) -> tuple[DataFrame, dict[str, Typed]]:
+    """rows with what paths need, and the paths by name, each the first scalar of its candidates: looked up and picked once a row.
+
+    Objects and arrays count as missing; numbers that are whole are ints.
+    """
+    rows, values = once(rows, [v for x in at.values() for v in x])
+    rows, tags = once(rows, [F.schema_of_variant(v) for v in values])
+    picked, i = [], 0
+    for x in at.values():
+        picked += first_scalar(values[i : i + len(x)], tags[i : i + len(x)])
+        i += len(x)
+    rows, picked = once(rows, picked)
+    return rows, {n: scalar(*picked[2 * i : 2 * i + 2]) for i, n in enumerate(at)}
+
+
 def discover(docs: DataFrame, doc: str = "doc", max_depth: int = 8, separator: str = SEPARATOR) -> DataFrame:
     """path, kind and n of all scalars in a column of VARIANT objects: how many rows hold each kind at each path.
 
@@ -150,7 +164,7 @@ def discover(docs: DataFrame, doc: str = "doc", max_depth: int = 8, separator: s
         own = F.array(F.struct("path", "v"))
         level = level.select(F.explode(F.when(F.col("tag").startswith("OBJECT"), inner).otherwise(own)).alias("e")).select("e.path", "e.v").withColumn("tag", F.schema_of_variant("v"))
     number = F.try_variant_get("v", "$", "double")
-    kind = kind.when(F.col("tag").rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.when((number == F.floor(number)) & (F.abs(number) < float(2**63)), "int").otherwise("double"))
+    kind = kind.when(is_fraction(F.col("tag")), F.when((number == F.floor(number)) & (F.abs(number) < float(2**63)), "int").otherwise("double"))
     return level.where(is_scalar(F.col("tag"))).groupBy("path", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,13 +37,18 @@ def unit(text: str) -> int:
     return n
 
 
-def rfc3339_nanos(text: Column) -> Column:
-    """Nanoseconds since the epoch of an RFC 3339 time; null if it is none, or beyond what 64 bits hold (years 1677 to 2262)."""
-    form = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.(\d{1,9})\d*)?(Z|[+-]\d{2}:\d{2})$"
-    whole = F.concat(F.regexp_extract(text, form, 1), F.regexp_extract(text, form, 3))
-    seconds = F.unix_seconds(F.try_to_timestamp(whole, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
-    fraction = F.rpad(F.regexp_extract(text, form, 2), 9, "0").cast("long")
-    return F.when(text.rlike(form), F.try_add(F.try_multiply(seconds, F.lit(NANOS["s"])), F.coalesce(fraction, F.lit(0))))
+def rfc3339(text: Column) -> Column:
+    """A text that has the form of an RFC 3339 time; empty if it has another."""
+    return F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$", 0)
+
+
+def rfc3339_nanos(found: Column) -> Column:
+    """Nanoseconds since the epoch of what ``rfc3339`` returns; null if it is no time, or beyond what 64 bits hold (years 1677 to 2262)."""
+    rest = F.substring(found, 20, 2**31 - 1)
+    point = reduce(lambda s, mark: F.substring_index(s, mark, 1), "Z+-", rest)  # and digits, or empty
+    seconds = F.unix_seconds(F.concat(F.substring(found, 1, 19), F.substr(rest, F.length(point) + 1)).try_cast("timestamp"))
+    fraction = F.rpad(F.substring(point, 2, 9), 9, "0").cast("long")
+    return F.try_add(F.try_multiply(seconds, F.lit(NANOS["s"])), fraction)
 
 
 def micros_of(nanos: int) -> int:

@@ -215,7 +215,9 @@ def stored(spark: SparkSession, sf_dir: str) -> Database:
     """The events as JSON documents in a store, written once a session: half of them before user.id is promoted, and the rest after."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        # a few bytes a row that become documents: dealt out first, as a file's row groups may be fewer than the cores
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(tasks, "event_id")
         at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         fields = [F.lit("events").alias("service"), at.alias("@timestamp"), F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("id")).alias("user"), F.col("event_type").alias("kind"), "value", F.parse_json("props").alias("props"), F.struct(F.struct(F.lit(1).alias("y")).alias("x")).alias("deep"), F.col("event_id").alias("id_noindex")]
         lines = events.select("event_id", F.to_json(F.struct(*fields)).alias("value"))

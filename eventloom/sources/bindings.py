@@ -42,13 +42,8 @@ class Binding:
         if open_:
             docs = list(dict.fromkeys(c for c, _ in open_.values()))
             rows, parsed = paths.once(rows, [self._document(c) for c in docs])
-            at = {n: paths.candidates(parsed[docs.index(c)], rest, self.separator) for n, (c, rest) in open_.items()}
-            rows, values = paths.once(rows, [v for x in at.values() for v in x])
-            rows, tags = paths.once(rows, [F.schema_of_variant(v) for v in values])
-            i = 0
-            for n, x in at.items():
-                found[n] = paths.scalar(*paths.first_scalar(values[i : i + len(x)], tags[i : i + len(x)]))
-                i += len(x)
+            rows, looked_up = paths.look_up(rows, {n: paths.candidates(parsed[docs.index(c)], rest, self.separator) for n, (c, rest) in open_.items()})
+            found |= looked_up
         return rows, {n: x.only(self.declared[n]) if n in self.declared else x for n, x in found.items()}
 
     def _resolve(self, path: str) -> Typed | tuple[str, str]:

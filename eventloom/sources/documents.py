@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions.paths import scalar
-from eventloom.functions.times import rfc3339_nanos
+from eventloom.functions.paths import once, scalar
+from eventloom.functions.times import rfc3339, rfc3339_nanos
 from eventloom.sources.bindings import TIMESTAMP
 
 NAMESPACE = "service"
@@ -31,18 +31,23 @@ def assemble(
     doc_id makes ids from the parsed document; they are random by default, and never looked at.
     """
     rows = lines.select(F.col("value").alias("_source"), F.try_parse_json("value").alias("doc"))
-    text = lambda key: scalar(F.try_variant_get("doc", f"$['{key}']", "variant")).string
-    nanos = rfc3339_nanos(text(timestamp))
+    rows, found = once(rows, [F.try_variant_get("doc", f"$['{key}']", "variant") for key in (namespace, timestamp)])
+    space, time = (scalar(v).string for v in found)
+    rows, (space, time) = once(rows, [space, rfc3339(time)])
+    rows, (nanos,) = once(rows, [rfc3339_nanos(time)])
     if precision:
         nanos = nanos - F.pmod(nanos, F.lit(precision))
-    object_ = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT") & F.rtrim("_source").endswith("}"), F.lit(False))
-    rows = rows.select("_source", "doc", text(namespace).alias("namespace"), nanos.alias("ts_nanos"), object_.alias("__object"))
+    # what has the fields is an object; the schema of a whole document is asked for only to tell what is wrong with it
+    ends = F.rtrim("_source").endswith("}")
+    good = ends & space.isNotNull() & nanos.isNotNull()
     if on_error == "skip":
-        rows = rows.where(F.col("__object") & F.col("namespace").isNotNull() & F.col("ts_nanos").isNotNull())
+        rows = rows.where(good)
     else:
         say = lambda what: F.raise_error(F.concat(F.lit(f"cannot parse document, {what}: "), F.col("_source")))
-        checked = F.when(~F.col("__object"), say("not an object")).when(F.col("namespace").isNull(), say(f"no namespace field {namespace}")).when(F.col("ts_nanos").isNull(), say(f"no timestamp field {timestamp}"))
-        rows = rows.withColumn("ts_nanos", F.coalesce(checked.cast("long"), "ts_nanos"))
+        object_ = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT") & ends, F.lit(False))
+        wrong = F.when(~object_, say("not an object")).when(space.isNull(), say(f"no namespace field {namespace}")).when(nanos.isNull(), say(f"no timestamp field {timestamp}"))
+        nanos = F.when(good, nanos).otherwise(wrong.cast("long"))
+    rows = rows.select("_source", "doc", space.alias("namespace"), nanos.alias("ts_nanos"))
     made = F.uuid() if doc_id is None else doc_id(F.col("doc"))
     return rows.select(made.alias("doc_id"), "namespace", "ts_nanos", F.timestamp_micros(F.expr("ts_nanos div 1000")).alias("ts"), "_source", "doc")
 

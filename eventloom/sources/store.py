@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions.paths import in_variant
+from eventloom.functions.paths import candidates, look_up
 from eventloom.sources.bindings import Documents
 from eventloom.sources.scratch import get_note, names, put_note
 
@@ -27,10 +27,16 @@ def columns_of(path: str) -> dict[str, str]:
     return {kind: f"{path}:{kind}" for kind in _TYPES}
 
 
-def _promoted(path: str) -> dict[str, Column]:
-    typed = in_variant(F.col("doc"), path)
-    values = typed.kinds() | {"null": F.when(typed.null, F.lit(True))}
-    return {name: values[kind].cast(_TYPES[kind]) for kind, name in columns_of(path).items()}
+def _promoted(docs: DataFrame, promote: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """docs with what the paths need, looked up once a row, and the columns of their own."""
+    if not promote:
+        return docs, []
+    docs, typed = look_up(docs, {path: candidates(F.col("doc"), path) for path in promote})
+    own = []
+    for path, t in typed.items():
+        values = t.kinds() | {"null": F.when(t.null, F.lit(True))}
+        own += [values[kind].cast(_TYPES[kind]).alias(name) for kind, name in columns_of(path).items()]
+    return docs, own
 
 
 #: What every file has, and how the partitions are read.
@@ -39,6 +45,14 @@ SCHEMA = "doc_id string, _source string, doc variant, ts_nanos long, ts timestam
 NOTES, PLAIN = "_promoted", "0"
 
 
+def laid_out(docs: DataFrame, promote: Sequence[str] = (), batch: str = PLAIN) -> DataFrame:
+    """Documents with their promoted columns and partitions, as they are written."""
+    rows, own = _promoted(docs, promote)
+    rows = rows.select(*docs.columns, *own, F.to_date("ts").alias("dt"), F.lit(batch).alias("batch"))
+    # adaptive execution splits a day that is large and joins days that are small
+    return rows.hint("rebalance", "namespace", "dt").sortWithinPartitions("namespace", "dt", "ts_nanos")
+
+
 def write(docs: DataFrame, root: str, promote: Sequence[str] = (), compression: str = "zstd", batch: str | None = None) -> None:
     """Append documents. promote: paths whose values get columns of their own, one a kind, that scans can filter on.
 
@@ -46,10 +60,7 @@ def write(docs: DataFrame, root: str, promote: Sequence[str] = (), compression:
     a batch of that name that is there already is replaced, so that a write can be repeated.
     """
     spark = docs.sparkSession
-    own = {name: c for path in promote for name, c in _promoted(path).items()}
-    rows = docs.withColumns(own | {"dt": F.to_date("ts"), "batch": F.lit(batch or PLAIN)})
-    # adaptive execution splits a day that is large and joins days that are small
-    rows = rows.hint("rebalance", "namespace", "dt").sortWithinPartitions("namespace", "dt", "ts_nanos")
+    rows = laid_out(docs, promote, batch or PLAIN)
     told = json.dumps(sorted(set(promote)))
     # before the files: a note too many only costs a push-down, one too few would cost rows
     put_note(spark, f"{root}/{NOTES}/{hashlib.sha256(told.encode()).hexdigest()[:16]}.json", told)

@@ -4,7 +4,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from eventloom.database import Database
 from eventloom.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +41,14 @@ def test_query(spark, duck, name):
 def test_only_queries_with_a_limit_in_sql_have_one(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
     assert ("Limit" in plan) == ("LIMIT" in catalog.ORACLES[name])
+
+
+def test_documents_of_the_store_are_made_in_many_tasks(spark, monkeypatch):
+    """However few row groups the events' file has: here it is one."""
+    seen = []
+    monkeypatch.setattr(catalog, "_STORES", {})
+    monkeypatch.setattr(Database, "write_batch", lambda self, lines: seen.append(lines))
+    catalog.stored(spark, DATA)
+    assert len(seen) == 2
+    for lines in seen:
+        assert lines.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism

@@ -5,10 +5,13 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.database import Database
 from eventloom.functions.paths import as_json, discover
+from eventloom.functions.times import rfc3339, rfc3339_nanos
 from eventloom.sources import store
+from eventloom.sources.documents import assemble
 
 FIRST = datetime(2021, 5, 3, 6, 0, 30, tzinfo=timezone(timedelta(hours=2)))
 SKIES = ["clear", "cloud", "fog", "rain", "snow"]
@@ -158,6 +161,34 @@ def test_a_path_is_looked_up_once(spark):
     assert plan.count("schemaOfVariant(") == 3  # one for each spelling: s.k, s.a.b, s."a.b"
 
 
+def test_a_write_looks_each_path_up_once(spark):
+    """And matches a time once; the schema of a whole document is taken only where an error tells of it."""
+    spark.conf.set("spark.sql.maxToStringFields", "1000")
+    rows = store.laid_out(assemble(spark.createDataFrame([(LINES[0],)], "value string")), ["sky", "station.code"])
+    assert [(r["sky:string"], r["station.code:string"], r["sky:int"], r["sky:null"]) for r in rows.collect()] == [("clear", "N", None, None)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"$[{p}]") for p in ("'service'", "'@timestamp'", "'sky'", "'station']['code'", "'station.code'")] == [1] * 5
+    assert plan.count("regexp_extract(") == 1 and plan.count("RLIKE") == 0 and plan.count("gettimestamp(") == 0
+    assert plan.count("schemaOfVariant(doc#") == 1 and "raise_error" in plan.split("schemaOfVariant(doc#")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "nanos"),
+    [
+        ("2024-01-01T02:00:00.1234567891+02:00", 1704067200123456789),
+        ("2024-01-01T00:00:00-18:00", 1704132000000000000),
+        ("1969-12-31T23:59:59.5Z", -500000000),
+        ("1677-09-21T00:12:44Z", -9223372036000000000),
+        ("1677-09-21T00:12:43.2Z", None),
+        ("2262-04-11T23:47:16.854775807Z", 2**63 - 1),
+        ("2262-04-11T23:47:16.854775808Z", None),
+        *((t, None) for t in ("2023-02-29T00:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:00:00+18:01", "2024-01-01T00:00:00", "2024-01-01 00:00:00Z", "2024-01-01T00:00:00.Z", "2024-1-01T00:00:00Z", "", None)),
+    ],
+)
+def test_times(spark, text, nanos):
+    assert spark.createDataFrame([(text,)], "t string").select(rfc3339_nanos(rfc3339(F.col("t")))).first()[0] == nanos
+
+
 def test_paths_of_any_depth(spark, tmp_path):
     db = Database(spark, str(tmp_path / "store"))
     base = '{"service":"n","@timestamp":"2024-01-01T00:00:00Z","id":%d,%s}'
